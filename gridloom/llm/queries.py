@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, token_file
+from . import line_rules, packing, simhash, token_file
 from .common import read
 
 
+def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judge(read(spark, sf_dir, "documents"))
+
+
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(read(spark, sf_dir, "documents"))
 
@@ -26,6 +30,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_line_rules": op5_line_rules,
         "op6_token_file": op6_token_file,
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
@@ -33,4 +38,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_rules": line_rules.ORACLE_SQL}
