@@ -13,10 +13,10 @@ import re
 
 import numpy as np
 
-LATIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?|]*)")
+LATIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?|]*)").fullmatch
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 END_ID = 1
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_000_000
 
 _loaded: dict[str, "WordIds"] = {}
 
@@ -43,24 +43,31 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.alphabet = byte_alphabet()
+        self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.pieces: dict[str, bytes] = {}
 
     def piece(self, s: str) -> bytes:
-        got = self.pieces.get(s)
-        if got is None:
-            name = s if s.isascii() else "".join(self.alphabet[b] for b in s.encode())
-            got = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(name))
-            if len(self.pieces) >= MEMO_WORDS // 2:
-                self.pieces.clear()
-            self.pieces[s] = got
+        """Ids of one run of letters or of punctuation, as the merge model has them."""
+        name = s if s.isascii() else "".join([self.alphabet[b] for b in s.encode()])
+        four = self.four
+        got = b"".join([four[t.id] for t in self.model.tokenize(name)])
+        if len(self.pieces) >= MEMO_WORDS // 2:
+            self.pieces.clear()
+        self.pieces[s] = got
         return got
 
     def whole(self, s: str) -> bytes:
         return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        m = LATIN.fullmatch(word.lower()) if max(word) <= "ÿ" else None
-        got = self.piece(m[1]) + (self.piece(m[2]) if m[2] else b"") if m else self.whole(word)
+        m = LATIN(word.lower())
+        if m:
+            letters, marks = m.groups()
+            got = self.pieces.get(letters) or self.piece(letters)
+            if marks:
+                got += self.pieces.get(marks) or self.piece(marks)
+        else:
+            got = self.whole(word)
         self[word] = got
         return got
 
