@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_rules, packing, simhash, token_file
+from . import langid, line_rules, packing, simhash, token_file, toxicity
 from .common import read
 
 
@@ -15,6 +15,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.assess(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(read(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_langid": op2_langid,
+        "op3_toxicity": op3_toxicity,
         "op5_line_rules": op5_line_rules,
         "op6_token_file": op6_token_file,
         "op9_simhash": op9_simhash,
