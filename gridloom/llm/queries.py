@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_rules, packing, simhash, token_file, toxicity
+from . import html_text, langid, line_rules, media, mixing, packing, simhash, token_file, toxicity
 from .common import read
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.schedule(read(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), "quota", "block", "epoch", "slot", "release", "deadline", "position")
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
@@ -27,6 +32,14 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(read(spark, sf_dir, "documents"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(read(spark, sf_dir, "pages"))
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(read(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.dedup(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
@@ -38,10 +51,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": op1_mixing,
         "op2_langid": op2_langid,
         "op3_toxicity": op3_toxicity,
         "op5_line_rules": op5_line_rules,
         "op6_token_file": op6_token_file,
+        "op7_html": op7_html,
+        "op8_media": op8_media,
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
     }
