@@ -231,3 +231,18 @@ def dedup(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, chunk_homes
 def hex_digits(fp: Column) -> Column:
     """A signed fingerprint as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def keep_first(docs: DataFrame, **params) -> DataFrame:
+    """``docs`` (all columns) with one row per near-duplicate group: that of the smallest doc_id.
+
+    Of rows that repeat a doc_id, one stays. Rows with a null doc_id can't be told apart, so they
+    take no part and stay.
+    """
+    known = dedup(docs.filter("doc_id is not null"), **params)
+    rows = save(known.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "near-duplicates")
+    gone = rows.filter("doc_id <> component_id").select("doc_id")
+    again = rows.filter("doc_id = component_id and n > 1").select("doc_id")
+    once = docs.join(gone.union(again), "doc_id", "left_anti")
+    repeated = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.select(*docs.columns).unionByName(repeated.select(*docs.columns))
