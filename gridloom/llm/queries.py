@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, langid, line_rules, media, mixing, packing, simhash, token_file, toxicity
+from . import html_text, langid, line_rules, lm_score, media, mixing, packing, simhash, token_file, toxicity
 from .common import read
 
 
@@ -24,6 +24,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.assess(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(read(spark, sf_dir, "documents"))
+
+
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(read(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op2_langid": op2_langid,
         "op3_toxicity": op3_toxicity,
+        "op4_lm_score": op4_lm_score,
         "op5_line_rules": op5_line_rules,
         "op6_token_file": op6_token_file,
         "op7_html": op7_html,

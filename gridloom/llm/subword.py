@@ -15,8 +15,8 @@ import re
 import numpy as np
 
 LATIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
-#: what keeps lower-cased prose from being cut at its full stops and commas
-NOT_PROSE = re.compile(r"[^a-zß-öø-ÿ.,\x20\n]|[.,][.,]").search
+#: characters of prose that can be cut at single commas and full stops
+PROSE = frozenset("abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ., \n")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 END_ID = 1
 MEMO_WORDS = 1_000_000
@@ -81,7 +81,8 @@ class WordIds(dict):
         if len(self) > MEMO_WORDS:
             self.clear()
         low = text.lower()
-        words = text.split() if NOT_PROSE(low) else low.replace(".", " . ").replace(",", " , ").split()
+        prose = PROSE.issuperset(low) and not (".." in low or ",," in low or ".," in low or ",." in low)
+        words = low.replace(".", " . ").replace(",", " , ").split() if prose else text.split()
         return b"".join(map(self.__getitem__, words)) + END_BYTES
 
 

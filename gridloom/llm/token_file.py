@@ -39,13 +39,18 @@ LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)
 
 def encode_values(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Control and data bytes of unsigned 32-bit ``values``."""
-    v = values.astype("<u4")
-    code = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
+    v = values.astype("<u4", copy=False)
+    code = (v > 0xFF).view(np.uint8) + (v > 0xFFFF).view(np.uint8) + (v > 0xFFFFFF).view(np.uint8)
     padded = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     padded[: len(v)] = code
     control = padded[0::4] | padded[1::4] << 2 | padded[2::4] << 4 | padded[3::4] << 6
-    raw = v.view(np.uint8).reshape(-1, 4)
-    return control, raw[np.arange(4, dtype=np.uint8) <= code[:, None]]
+    at = np.cumsum(code, dtype=np.int64) + np.arange(len(v))  # of each value's last byte
+    data = np.empty(len(v) + int(code.sum(dtype=np.int64)), np.uint8)
+    data[at - code] = v & 0xFF
+    for k in (1, 2, 3):
+        (more,) = np.nonzero(code >= k)
+        data[at[more] - code[more] + k] = v[more] >> np.uint32(8 * k) & 0xFF
+    return control, data
 
 
 def decode_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
@@ -82,34 +87,31 @@ def decode_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
 
 
 def _narrow(path: str):
-    """Documents to their ids as 16-bit numbers (32-bit if the vocabulary needs it)."""
+    """Documents to their ids as 16-bit numbers (32-bit if the vocabulary needs it), then one
+    row without a place: the task's number of each id, as 64-bit numbers."""
+    names = ["doc_id", "_place", "wide", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = subword.word_ids(path)
-        kind = "<u2" if ids.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        vocab = ids.tokenizer.get_vocab_size()
+        kind, total = "<u2" if vocab <= 1 << 16 else "<u4", np.zeros(vocab, np.int64)
         for batch in batches:
-            out = [np.frombuffer(ids.encode(t.as_py()), "<u4").astype(kind).tobytes() for t in batch.column(1)]
+            out = [np.frombuffer(ids.encode(t.as_py()), "<u4").astype(kind) for t in batch.column(1)]
+            if out:
+                total += np.bincount(np.concatenate(out), minlength=vocab)
             wide = pa.array([kind == "<u4"] * len(out), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), wide, pa.array(out, pa.binary())], ["doc_id", "_place", "wide", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), wide, pa.array([x.tobytes() for x in out], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.array([total.tobytes()])], names)
 
     return run
 
 
-def _values(batch: pa.RecordBatch) -> np.ndarray:
-    col = batch.column("ids")
-    parts = [np.frombuffer(b, "<u4" if w else "<u2") for b, w in zip(col.to_pylist(), batch.column("wide").to_pylist())]
-    return np.concatenate(parts) if parts else np.zeros(0, "<u2")
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1, np.int64)
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        c = np.bincount(_values(batch))
-        if len(c) > len(total):
-            total = np.pad(total, (0, len(c) - len(total)))
-        total[: len(c)] += c
-    (seen,) = np.nonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
+        for raw in batch.column(0).to_pylist():
+            total = np.frombuffer(raw, np.int64)
+            (seen,) = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
 
 def _encode(by_rank: np.ndarray, block_ids: int):
@@ -167,8 +169,9 @@ def write_blocks(docs: DataFrame, path: str | None = None, block_ids: int = BLOC
     """
     path = path or subword.default_path()
     placed = ordered(docs.select("doc_id", "text"), "doc_id")
-    tokens = save(placed.select("doc_id", "text", "_place").mapInArrow(_narrow(path), "doc_id long, _place long, wide boolean, ids binary"), "token-ids")
-    counts = tokens.mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    stored = save(placed.select("doc_id", "text", "_place").mapInArrow(_narrow(path), "doc_id long, _place long, wide boolean, ids binary"), "token-ids")
+    tokens = stored.filter("_place is not null")
+    counts = stored.filter("_place is null").select("ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     by_rank = np.array([r["id"] for r in sorted(counts.collect(), key=lambda r: (-r["n"], r["id"]))], np.int64)  # one row per vocabulary entry at most
     return save(tokens.mapInArrow(_encode(by_rank, block_ids), "_place long, n_ids long, block binary"), "token-blocks", "uncompressed"), by_rank
 
