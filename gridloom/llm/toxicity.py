@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,47 +101,60 @@ def _featurise(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"toxic": pdf["toxic"], "features": [features.of_text(t).tobytes() for t in pdf["text"]]})
 
 
-def solve(rows: list[np.ndarray], toxic: np.ndarray, max_features: int = MAX_FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
-    """Features, weights and bias from the sampled texts' feature sets."""
-    flat = np.concatenate(rows).astype(np.int64)
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, texts that have it, toxic texts that have it) of a task's texts."""
+    size = len(LEVELS) << HASH_BITS
+    both, toxic = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    for batch in batches:
+        for label, row in zip(batch.column("toxic").to_pylist(), batch.column("features")):
+            found = np.frombuffer(row.as_py(), np.uint32)  # no feature comes twice
+            both[found] += 1
+            if label:
+                toxic[found] += 1
+    (some,) = np.nonzero(both)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(both[some].astype(np.int64)), pa.array(toxic[some].astype(np.int64))], ["feature", "n", "p"])
+
+
+def solve(rows: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of the chosen features (their places in ``rows``, values ``ratio``) and bias."""
     y = toxic.astype(np.float64)
-    both = np.bincount(flat, minlength=len(LEVELS) << HASH_BITS)
-    p = np.bincount(flat[y[of] > 0], minlength=len(LEVELS) << HASH_BITS)
-    pos, neg = y.sum(), len(y) - y.sum()
-    ratio = np.log((p + 1) / (pos + 1)) - np.log((both - p + 1) / (neg + 1))
-    worth = np.abs(ratio) * np.sqrt(both)
-    worth[both < MIN_DOCS] = 0
-    chosen = np.sort(np.argsort(-worth, kind="stable")[:max_features])
-    chosen = chosen[worth[chosen] > 0]
-    if not len(chosen):
-        return chosen, np.zeros(0), float(np.log((pos + 0.5) / (neg + 0.5)))
-    place = np.full(len(LEVELS) << HASH_BITS, -1, np.int64)
-    place[chosen] = np.arange(len(chosen))
-    use = place[flat] >= 0
-    col, row = place[flat[use]], of[use]
-    value = ratio[chosen]
-    w, b, m, v = np.zeros(len(chosen)), float(np.log((pos + 0.5) / (neg + 0.5))), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    col = np.concatenate(rows).astype(np.int64)
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    w, b = np.zeros(len(ratio)), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+    m, v = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     for t in range(1, STEPS + 1):
-        z = np.bincount(row, (w * value)[col], len(y)) + b
+        z = np.bincount(row, (w * ratio)[col], len(y)) + b
         err = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / len(y)
-        g = np.append(value * np.bincount(col, err[row], len(chosen)) + RIDGE * w, err.sum())
+        g = np.append(ratio * np.bincount(col, err[row], len(ratio)) + RIDGE * w, err.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
-    return chosen, w * value, b
+    return w * ratio, b
+
+
+def _select(chosen: np.ndarray):
+    """Texts with only the places of their chosen features."""
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = np.full(len(LEVELS) << HASH_BITS, -1, np.int32)
+        place[chosen] = np.arange(len(chosen))
+        for pdf in pdfs:
+            each = (place[np.frombuffer(b, np.uint32)] for b in pdf["features"])
+            yield pd.DataFrame({"toxic": pdf["toxic"], "features": [np.sort(x[x >= 0]).tobytes() for x in each]})
+
+    return run
 
 
-def _fit(max_features: int):
+def _fit(ratio: np.ndarray):
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, toxic = [], []
         for pdf in pdfs:
-            rows += [np.frombuffer(b, np.uint32) for b in pdf["features"]]
+            rows += [np.frombuffer(b, np.int32) for b in pdf["features"]]
             toxic += pdf["toxic"].tolist()
-        if rows and 0 < sum(toxic) < len(toxic):
+        if rows:
             order = np.lexsort(([zlib.crc32(r) for r in rows], toxic))  # whatever order the shuffle gave
-            chosen, w, b = solve([rows[i] for i in order], np.array(toxic)[order], max_features)
-            yield pd.DataFrame({"features": [chosen.astype("<i4").tobytes()], "weights": [w.astype("<f4").tobytes()], "bias": [b]})
+            w, b = solve([rows[i] for i in order], np.array(toxic)[order], ratio)
+            yield pd.DataFrame({"weights": [w.astype("<f4").tobytes()], "bias": [b]})
 
     return run
 
@@ -150,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample_docs: int =
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(~held_out)
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    none = np.zeros(0, np.int32), np.zeros(0, np.float32)
+    none = np.zeros(0, np.int64), np.zeros(0, np.float32)
     if not n.get(0) or not n.get(1):
         return Model(*none, 50.0 if n.get(1) else -50.0)
     share = F.when(F.col("toxic") == 1, min(1.0, sample_docs / n[1])).otherwise(min(1.0, sample_docs / n[0]))
@@ -158,11 +172,15 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample_docs: int =
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")  # about 2 * sample_docs ids
     sample = save(sample.mapInPandas(_featurise, "toxic int, features binary"), "toxic-sample")
     drawn = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    got = sample.repartition(1).mapInPandas(_fit(max_features), "features binary, weights binary, bias double").collect()
-    if not got:
+    if not drawn.get(0) or not drawn.get(1):
         return Model(*none, float(np.log(n[1] / n[0])))
+    counts = sample.mapInArrow(_count, "feature long, n long, p long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).filter(F.col("n") >= MIN_DOCS)
+    ratio = F.log((F.col("p") + 1) / (drawn[1] + 1)) - F.log((F.col("n") - F.col("p") + 1) / (drawn[0] + 1))
+    top = counts.select("feature", ratio.alias("ratio"), (F.abs(ratio) * F.sqrt("n")).alias("worth")).orderBy(F.desc("worth"), "feature").limit(max_features).select("feature", "ratio").toArrow()
+    features, ratios = top.column("feature").to_numpy(), top.column("ratio").to_numpy()
+    got = sample.mapInPandas(_select(features), "toxic int, features binary").repartition(1).mapInPandas(_fit(ratios), "weights binary, bias double").collect()
     shift = np.log(n[1] / n[0]) - np.log(drawn[1] / drawn[0])
-    return Model(np.frombuffer(got[0]["features"], "<i4"), np.frombuffer(got[0]["weights"], "<f4"), got[0]["bias"] + float(shift))
+    return Model(features, np.frombuffer(got[0]["weights"], "<f4"), got[0]["bias"] + float(shift))
 
 
 def scorer(docs: DataFrame, model: Model):
