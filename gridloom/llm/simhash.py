@@ -243,6 +243,7 @@ def keep_first(docs: DataFrame, **params) -> DataFrame:
     rows = save(known.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "near-duplicates")
     gone = rows.filter("doc_id <> component_id").select("doc_id")
     again = rows.filter("doc_id = component_id and n > 1").select("doc_id")
-    once = docs.join(gone.union(again), "doc_id", "left_anti")
-    repeated = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    once = docs.join(gone.union(again).hint("merge"), "doc_id", "left_anti").select(*docs.columns)  # one shuffle of docs at every size
+    if again.isEmpty():
+        return once
+    return once.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
