@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,11 +148,12 @@ def predictor(docs: DataFrame, model: Model):
     """A column function: text -> struct(lang_pred, score)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(sent.value)
         for part in texts:
-            yield pd.DataFrame([scorer.predict(t) for t in part], columns=["lang_pred", "score"])
+            found = [scorer.predict(t.as_py()) for t in part]
+            yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], ["lang_pred", "score"])
 
     return predict
 
