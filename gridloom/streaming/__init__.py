@@ -1,0 +1 @@
+"""Structured streaming: the surveyed operators have none, so this package is empty."""
