@@ -33,6 +33,7 @@ from .common import add_starts, ordered, save
 MAGIC = b"FRB1"
 HEADER = struct.Struct("<4sIQI")
 BLOCK_IDS = 1 << 20
+DOCS_AT_ONCE = 512
 #: lengths of the four values of each control byte
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
@@ -95,10 +96,9 @@ def _narrow(path: str):
         ids = subword.word_ids(path)
         vocab = ids.tokenizer.get_vocab_size()
         kind, total = "<u2" if vocab <= 1 << 16 else "<u4", np.zeros(vocab, np.int64)
-        for batch in batches:
+        for batch in (whole.slice(at, DOCS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, DOCS_AT_ONCE)):
             out = [np.frombuffer(ids.encode(t.as_py()), "<u4").astype(kind) for t in batch.column(1)]
-            if out:
-                total += np.bincount(np.concatenate(out), minlength=vocab)
+            total += np.bincount(np.concatenate(out), minlength=vocab)
             wide = pa.array([kind == "<u4"] * len(out), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), wide, pa.array([x.tobytes() for x in out], pa.binary())], names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.array([total.tobytes()])], names)
