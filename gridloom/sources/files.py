@@ -70,7 +70,11 @@ def read_rpc_text(spark: SparkSession, path: str) -> DataFrame:
 def write_rpc_text(models: DataFrame, path: str) -> None:
     """One text row per model, in the form that :func:`read_rpc_text` reads."""
     lines = [F.concat(F.lit(n.upper() + ": "), F.col(n).cast("string")) for n in RPC_SCALARS]
-    arrays = [F.array_join(F.transform(n, lambda v, i, n=n: F.concat(F.lit(f"{n.upper()}_COEFF_"), (i + 1).cast("string"), F.lit(": "), v.cast("string"))), "\n") for n in RPC_ARRAYS]
+
+    def coefficients(name: str):
+        return F.array_join(F.transform(name, lambda v, i: F.concat(F.lit(f"{name.upper()}_COEFF_"), (i + 1).cast("string"), F.lit(": "), v.cast("string"))), "\n")
+
+    arrays = [coefficients(n) for n in RPC_ARRAYS]
     models.select(F.concat_ws("\n", *lines, *arrays).alias("value")).write.text(path)
 
 
