@@ -41,7 +41,11 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 CONTAINERS = frozenset(("article", "main"))
 #: parts of class, id and role names that mark boilerplate
-MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation navi menu menus breadcrumb breadcrumbs footer sidebar side aside comment comments commentlist respond reply replies disqus cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login search form pagination pager skip toolbar masthead complementary contentinfo".split())
+COMMENTS = frozenset("comment comments commentlist respond reply replies disqus".split())
+MARKS = COMMENTS | frozenset("ad ads adbox adslot adunit adwrap advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation navi menu menus breadcrumb breadcrumbs footer sidebar side aside widget cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login search form pagination pager skip toolbar masthead complementary contentinfo".split())
+#: words that turn such a part into a remark on the layout ("has-sidebar", "comments-open")
+NOT_AFTER = frozenset("has with no without".split())
+NOT_BEFORE = frozenset("open closed enabled disabled".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)""", re.S)
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -50,15 +54,23 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def marked(attributes: str) -> bool:
+def marked(attributes: str, marks: frozenset[str] = MARKS) -> bool:
     """Whether class, id or role names a part that isn't main text."""
-    return "=" in attributes and any(not MARKS.isdisjoint(PARTS.findall(CAMEL.sub(" ", "".join(m.groups(""))).lower())) for m in NAMES.finditer(attributes))
+    if "=" not in attributes:
+        return False
+    for m in NAMES.finditer(attributes):
+        for name in "".join(m.groups("")).split():
+            parts = PARTS.findall(CAMEL.sub(" ", name).lower())
+            for k, part in enumerate(parts):
+                if part in marks and not (k and parts[k - 1] in NOT_AFTER) and not (k + 1 < len(parts) and parts[k + 1] in NOT_BEFORE):
+                    return True
+    return False
 
 
 def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
     """(text, characters in links, container number, kind of container: 1 article or main, dropped) of each block."""
     out, parts, link_chars = [], [], 0
-    containers, stack = [(0, 0)], []  # open containers; open dropped element: [name, depth]
+    containers, stack = [(0, 0)], []  # open containers; open dropped element: [name, depth, reader comments]
     links = count = at = 0
 
     def text(s: str) -> None:
@@ -108,12 +120,12 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
                     stack.pop()
             elif end and name in ("body", "html", "head"):
                 stack.clear()
-            elif not end and (name == "body" or name in CONTAINERS and stack[-1][0] in ("head", "nav", "header")):
-                stack.clear()  # the dropped part was never closed
+            elif not end and (name in ("body", "main") or name == "article" and not stack[-1][2] and not marked(attributes, COMMENTS)):
+                stack.clear()  # the dropped part was never closed, or only wraps the article
             if stack:
                 continue
-        elif not end and (name in DROPPED or name == "header" and len(containers) == 1 or name not in ("html", "body", "article", "main") and marked(attributes)):
-            stack.append([name, 1])
+        elif not end and (name in DROPPED or name == "header" and len(containers) == 1 or name not in ("html", "body") and marked(attributes, COMMENTS if name in CONTAINERS else MARKS)):
+            stack.append([name, 1, marked(attributes, COMMENTS)])
             continue
         if name in CONTAINERS:
             if not end:

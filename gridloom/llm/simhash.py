@@ -29,6 +29,7 @@ SHINGLE = 4
 BITS = 4
 CHUNK_HOMES = 2048
 PAIRS_AT_ONCE = 1 << 21
+ROWS_AT_ONCE = 1 << 20
 #: (lowest bit, width) of the three blocks
 BLOCKS = ((42, 22), (21, 21), (0, 21))
 
@@ -113,10 +114,14 @@ def _replicate(hot_keys: np.ndarray, hot_chunks: np.ndarray):
                 at = np.searchsorted(hot_keys, key).clip(max=len(hot_keys) - 1)
                 chunks = np.where(hot_keys[at] == key, hot_chunks[at], 1)
             mine = ((fp[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % chunks
-            again = np.repeat(np.arange(len(key)), chunks)
-            chunk = np.arange(len(again)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-            is_home = home[again] & (chunk == mine[again])
-            yield pa.RecordBatch.from_arrays([pa.array(key[again].astype(np.int32)), pa.array(chunk.astype(np.int32)), pa.array(~is_home), pa.array(fp[row[again]])], ["key", "chunk", "away", "fp"])
+            upto = np.cumsum(chunks)
+            cuts = np.searchsorted(upto, np.arange(ROWS_AT_ONCE, upto[-1] + 1, ROWS_AT_ONCE)) if len(upto) else []
+            for lo, hi in zip([0, *cuts], [*cuts, len(key)]):  # a hot key's copies may be many times the batch
+                n = chunks[lo:hi]
+                again = np.repeat(np.arange(lo, hi), n)
+                chunk = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
+                is_home = home[again] & (chunk == mine[again])
+                yield pa.RecordBatch.from_arrays([pa.array(key[again].astype(np.int32)), pa.array(chunk.astype(np.int32)), pa.array(~is_home), pa.array(fp[row[again]])], ["key", "chunk", "away", "fp"])
 
     return run
 

@@ -255,6 +255,9 @@ def test_pages_of_the_table(spark, sf):
         (f'<script>var t="</p>{LONG}";</script><style>p</style><!-- {LONG} --><article>A<b>b</b>c<p>{LONG}<img src="a>b"></article>', f"Abc\n{LONG}"),
         (f"<head><title>t</title><body><nav><li>x<article><p>{LONG}</p></article>", LONG),
         ("<article><p>Only</p><p>short</p></article>", "Only\nshort"),
+        (f'<div class="page has-sidebar"><p>{LONG}</p></div><div class="right-sidebar"><p>{LONG}</p></div>', LONG),
+        (f'<article class="post comments-open"><p>{LONG}</p></article><article class="comment"><p>{LONG}</p></article>', LONG),
+        (f'<div id="comments"><article><p>{LONG}</p></article></div><div class="menu-wrap"><main><p>{LONG}</p></main></div>', LONG),
         (f"<p>{LONG}</p><p>{LONG}", f"{LONG}\n{LONG}"), (f"<article><p>{LONG} <b", LONG),
     ],
 )
