@@ -209,10 +209,10 @@ def components(edges: DataFrame) -> DataFrame:
             return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = mark
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "star-minima")  # stored, so that a hub's join can be split
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = save(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = save(large.groupBy("u").agg(F.min("v").alias("m")), "star-minima")
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         state = save(small.filter("u <> v").distinct(), "small-star")
 
@@ -227,8 +227,8 @@ def dedup(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, chunk_homes
     fps = save(fingerprints(docs, shingle), "fingerprints")
     first = save(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     roots = components(links(first.select("fp"), bits, chunk_homes))
-    rooted = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    rooted = save(first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    least = save(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "component-minima")
     ids = save(rooted.join(least, "root").select("fp", "component_id"), "component-ids")
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
