@@ -180,9 +180,9 @@ def tracks(edges: DataFrame) -> DataFrame:
     while (mark := state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()) != before and mark[0]:
         before = mark
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "track-minima")  # stored, so that a hub's join can be split
         large = save(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "tracks")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = save(large.groupBy("u").agg(F.min("v").alias("m")), "track-minima")
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         state = save(small.filter("u <> v").distinct(), "tracks")
     return nodes.join(state.select(F.col("u").alias("node"), F.col("v").alias("track")), "node", "left").select("node", F.coalesce("track", "node").alias("track"))
