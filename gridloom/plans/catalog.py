@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geodesy, xmltext
 from ..operators import corners, focal, linalg, matching, postfilter, raster, sensor, wallis
+from ..sources.storage import save
 from . import views as V
 from .twins import TWINS
 
@@ -276,8 +277,13 @@ def point_in_quad(s, d):
 
 @query
 def connected_tracks(s, d):
-    e = V.table(s, d, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") + F.col("o_orderkey") % 7 * 211).alias("b")).filter("o_orderkey % 11 = 0")
-    return matching.tracks(e)
+    """Every eleventh order: few enough links for the recursive SQL twin."""
+    return matching.tracks(V.links(s, d).filter("o_orderkey % 11 = 0").select("a", "b"))
+
+
+@query
+def connected_tracks_all(s, d):
+    return matching.tracks(V.links(s, d).select("a", "b"))
 
 
 # linear algebra
@@ -312,18 +318,26 @@ def thin_qr(s, d):
 
 @query
 def conjugate_gradient(s, d):
-    a = linalg.from_triplets(V.coo(s, d).filter("i <= 40").select("i", (F.col("j") % 40 + 1).alias("j"), "v"))
+    """All suppliers over all parts; the solution is about 1e-7, so 14 digits."""
+    a = linalg.from_triplets(V.coo(s, d))
     g = linalg.multiply(a, linalg.transpose(a))
-    m = g.select("i", "j", F.when(F.col("i") == F.col("j"), F.col("v") * 2).otherwise(F.col("v")).alias("v"))
-    return rounded(linalg.conjugate_gradient(m, m.filter("i = j").select("i", F.lit(1.0).alias("v")), steps=60), 4)
+    m = save(g.select("i", "j", F.when(F.col("i") == F.col("j"), F.col("v") * 2).otherwise(F.col("v")).alias("v")), "cg-matrix")  # every step reads it
+    return rounded(linalg.conjugate_gradient(m, m.filter("i = j").select("i", F.lit(1.0).alias("v")), steps=60), 14)
 
 
 @query
 def matmul_coo(s, d):
+    """Parts up to 50: few enough rows to compare with the SQL twin."""
     a = linalg.from_triplets(V.coo(s, d))
     return rounded(linalg.multiply(linalg.transpose(a).filter("i <= 50"), a.filter("j <= 50")), 4)
 
 
+@query
+def matmul_coo_all(s, d):
+    a = linalg.from_triplets(V.coo(s, d))
+    return rounded(linalg.multiply(linalg.transpose(a), a), 4)
+
+
 @query
 def mat_add(s, d):
     return rounded(linalg.add(V.coo(s, d), V.coo2(s, d)), 4)

@@ -58,6 +58,12 @@ def coo2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").filter("l_linenumber % 2 = 0").select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j"), F.col("l_discount").alias("v"))
 
 
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links (a, b) of customers, one an order."""
+    k = F.col("o_custkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", k.alias("a"), (k + F.col("o_orderkey") % 7 * 211).alias("b"))
+
+
 def regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.lit(1.0).alias("x0"), F.col("l_quantity").alias("x1"), F.col("l_discount").alias("x2"), F.col("l_tax").alias("x3"), F.col("l_extendedprice").alias("y"), F.col("l_returnflag").alias("g")
