@@ -1,18 +1,23 @@
 """Mixing sources to target weights by Pfair scheduling of document blocks.
 
-Weights are whole numbers of slots in a period of ``period`` slots (largest remainders, one
-at least). Block k (0, 1, ...) of a source with q slots is released at floor(k * period / q)
-and due at ceil((k + 1) * period / q); in each slot the released block that is due first goes.
-As the q sum to the period, every slot is filled, every block runs inside its window, and
-after any number of slots each source is less than one block off its share. The
-order repeats every period, so only one period is worked out (``period`` rows, a parameter) and
-joined to the blocks, whose number is unlimited.
+Block k (0, 1, ...) of a source with the share w of all weights is released at floor(k / w) and
+due at ceil((k + 1) / w); in each slot the released block that is due first goes. As the shares
+sum to 1, every slot is filled, every block runs inside its window, and after any number of slots
+each source is less than one block off its share. Weights are taken as the exact fractions that
+their doubles stand for, so no rounding adds up however long the mix is.
+
+The order is worked out by one task that holds one row a source, and streams one row a block (not a
+document) to the shared store, where the documents join it. With a ``period``, weights are rounded to whole
+slots of a period first (largest remainders, one at least).
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +27,8 @@ PERIOD = 4096
 BLOCK_DOCS = 64
 TEMPERATURE = 0.7
 NO_SOURCE = "\x01"
+PLAN_ROWS = 1 << 16  # rows of the plan in a batch
+FEW_SOURCES = 1 << 16  # so many are broadcast
 
 
 def quotas(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -59,49 +66,92 @@ def period_order(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, repeat: bool = True, block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
+def _exact(weights: list[float]) -> list[int]:
+    """Whole numbers in the same proportions."""
+    parts = [float(w).as_integer_ratio() for w in weights]
+    below = max((d for _, d in parts), default=1)  # powers of 2
+    return [n * (below // d) for n, d in parts]
+
+
+def block_order(sources: list[str], weights: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(number of source, k, slot, release, deadline) until every source has given all its blocks."""
+    total, left, slot = sum(weights), len(blocks), 0
+    ties = sorted(range(len(sources)), key=sources.__getitem__)  # equal deadlines go by name
+    waiting = [(0, rank, 0) for rank in range(len(ties))]
+    ready: list[tuple[int, int, int, int]] = []
+    while left:
+        while waiting and waiting[0][0] <= slot:
+            release, rank, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * total // weights[ties[rank]]), rank, k, release))
+        due, rank, k, release = heapq.heappop(ready)
+        s = ties[rank]
+        yield s, k, slot, release, due
+        left -= k + 1 == blocks[s]
+        heapq.heappush(waiting, ((k + 1) * total // weights[s], rank, k + 1))
+        slot += 1
+
+
+PLAN = "mix_source string, own long, block long, epoch long, slot long, release long, deadline long"
+
+
+def _plan(period: int | None, repeat: bool):
+    """Rows of ``PLAN`` from rows (mix_source, weight, blocks) in one task."""
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = pd.concat([pd.DataFrame({"mix_source": [], "weight": [], "blocks": []}), *pdfs])
+        names, blocks = found["mix_source"].tolist(), [int(b) for b in found["blocks"]]
+        given = found["weight"].tolist()
+        slots = quotas(dict(zip(names, given)), period) if period and names else None
+        order = block_order(names, [slots[s] for s in names] if slots else _exact(given), blocks)
+        rows = ((names[s], k % blocks[s], k, k // blocks[s], slot, release, due) for s, k, slot, release, due in order if repeat or k < blocks[s])
+        while part := list(islice(rows, PLAN_ROWS)):
+            yield pd.DataFrame(part, columns=[c.split()[0] for c in PLAN.split(", ")])
+
+    return run
+
+
+def schedule(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, repeat: bool = True, block_docs: int = BLOCK_DOCS, period: int | None = None) -> DataFrame:
     """Every row of ``docs`` (as struct ``doc``) with its place in the mix.
 
     Without ``weights``, a source's weight is its number of rows to the power ``temperature``.
     With ``repeat``, the mix ends with the slot in which the last source has given all its rows;
     sources that are through earlier start again (column epoch). Otherwise every row
     comes once and a source that is through leaves its slots empty. Rows of a source come in
-    the order of a hash of their id. Columns: doc, mix_source, quota, block, epoch, slot,
-    release, deadline, position (slot * block_docs + place in block).
+    the order of a hash of their id. Columns: doc, mix_source, quota (share of the slots; with
+    ``period``, slots of a period), block, epoch, slot, release, deadline, position (slot * block_docs + place
+    in block).
 
     A null source is a source of its own; rows with null or repeated ids are all kept; sources
-    without a weight raise ValueError; an empty table gives no rows.
+    without a weight, and weights that aren't positive, raise ValueError; an empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("mix_source"), F.xxhash64("doc_id").alias("_h"))
     placed = save(ordered(rows, "mix_source", "_h"), "mix-order")
-    counts = {r["mix_source"]: r["n"] for r in placed.groupBy("mix_source").agg(F.count("*").alias("n")).limit(period + 1).collect()}
-    given = weights or {s: n**temperature for s, n in counts.items()}
-    if missing := sorted(set(counts) - set(given)):
-        raise ValueError(f"sources without a weight: {missing[:5]}")
-    plan = "mix_source string, k long, _slot long, _release long, _due long"
-    if not counts:
-        return placed.join(spark.createDataFrame([], plan), "mix_source").select("doc", "mix_source", *[F.lit(0).cast("long").alias(c) for c in ("quota", "block", "epoch", "slot", "release", "deadline", "position")])
-    slots = quotas({s: given[s] for s in counts}, period)
-    blocks = {s: -(-n // block_docs) for s, n in counts.items()}
-    order = period_order(slots)
-    slot_of = {(s, k): slot for s, k, slot, _, _ in order}
-    end = 1 + max((b - 1) // slots[s] * period + slot_of[s, (b - 1) % slots[s]] for s, b in blocks.items())
-    runs_to = {s: end // period * q + sum(slot_of[s, k] < end % period for k in range(q)) for s, q in slots.items()}
     index = (F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).alias("_index")
     placed = add_starts(placed, F.lit(1), "_before").select("doc", "mix_source", index)
-    first = {r["mix_source"]: r["i"] for r in placed.groupBy("mix_source").agg(F.min("_index").alias("i")).collect()}
-    sources = spark.createDataFrame([(s, first[s], blocks[s], q, runs_to[s]) for s, q in slots.items()], "mix_source string, _first long, _blocks long, quota long, _end long")
-    at = placed.join(F.broadcast(sources), "mix_source").withColumn("_at", F.col("_index") - F.col("_first"))
-    own = F.floor(F.col("_at") / block_docs).cast("long")
-    runs = F.sequence(own, F.col("_end") - 1, F.col("_blocks")) if repeat else F.array(own)
-    at = at.select("doc", "mix_source", "quota", "_blocks", (F.col("_at") % block_docs).alias("_inside"), F.explode(runs).alias("block"))
-    at = at.withColumn("k", F.col("block") % F.col("quota")).withColumn("_base", F.floor(F.col("block") / F.col("quota")).cast("long") * period)
-    return at.join(F.broadcast(spark.createDataFrame(order, plan)), ["mix_source", "k"]).select(
-        "doc", "mix_source", "quota", "block", F.floor(F.col("block") / F.col("_blocks")).cast("long").alias("epoch"),
-        (F.col("_base") + F.col("_slot")).alias("slot"), (F.col("_base") + F.col("_release")).alias("release"), (F.col("_base") + F.col("_due")).alias("deadline"),
-        ((F.col("_base") + F.col("_slot")) * block_docs + F.col("_inside")).alias("position"),
-    )
+    sources = placed.groupBy("mix_source").agg(F.count("*").alias("n"), F.min("_index").alias("_first"))
+    if weights is None:
+        sources = sources.withColumn("weight", F.pow("n", F.lit(float(temperature))))
+    else:
+        given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "mix_source string, weight double")
+        sources = sources.join(given, "mix_source", "left")
+    sources = save(sources.withColumn("blocks", F.ceil(F.col("n") / block_docs).cast("long")), "mix-sources")
+    if missing := [r["mix_source"] for r in sources.filter("weight is null").orderBy("mix_source").limit(5).collect()]:
+        raise ValueError(f"sources without a weight: {missing}")
+    kinds, total = sources.agg(F.count("*"), F.sum("weight")).first()
+    if sources.filter("not weight > 0 or isnan(weight) or weight = double('inf')").limit(1).count():
+        raise ValueError("weights must be positive")
+    if period:
+        slots = quotas({r["mix_source"]: r["weight"] for r in sources.limit(period + 1).collect()}, period) if kinds else {}
+        quota = spark.createDataFrame(list(slots.items()), "mix_source string, quota long")
+        sources = sources.join(F.broadcast(quota), "mix_source")
+    else:
+        sources = sources.withColumn("quota", F.col("weight") / F.lit(total))
+    plan = save(sources.select("mix_source", "weight", "blocks").repartition(1).mapInPandas(_plan(period, repeat), PLAN), "mix-plan")
+    few = sources.select("mix_source", "_first", "quota")
+    at = placed.join(F.broadcast(few) if kinds <= FEW_SOURCES else few, "mix_source").withColumn("_at", F.col("_index") - F.col("_first"))
+    at = at.select("doc", "mix_source", "quota", F.floor(F.col("_at") / block_docs).cast("long").alias("own"), (F.col("_at") % block_docs).alias("_inside"))
+    return at.join(plan, ["mix_source", "own"]).select("doc", "mix_source", "quota", "block", "epoch", "slot", "release", "deadline", (F.col("slot") * block_docs + F.col("_inside")).alias("position"))
 
 
 def interleave(docs: DataFrame, **params) -> DataFrame:

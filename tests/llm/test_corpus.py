@@ -52,6 +52,36 @@ def test_mix_of_a_table(docs):
     assert sorted(seen) == list(range(len(seen))) and all(len(s) == 1 for s in seen.values())
 
 
+def test_long_mixes_keep_the_given_weights():
+    from fractions import Fraction
+
+    names = ["hot", *[f"s{i}" for i in range(19)], "tiny"]
+    given = [(1 / 3) ** 0.7, *[(2 / 57) ** 0.7] * 19, 1e-5]
+    whole = mixing._exact(given)
+    assert [Fraction(w, sum(whole)) for w in whole] == [Fraction(w) / sum(map(Fraction, given)) for w in given]
+    count, share = [0] * 21, np.array(given) / sum(given)
+    for s, k, slot, release, due in mixing.block_order(names, whole, [10_000, *[1_000] * 19, 1]):
+        assert k == count[s] and release <= slot < due
+        count[s] += 1
+        if slot % 97 == 0:
+            assert np.abs(np.array(count) - (slot + 1) * share).max() < 1 + 1e-9
+    assert sum(count) > 20_000 and count[20] == 1
+
+
+def test_more_sources_than_slots_of_a_period(spark):
+    docs = spark.range(5000).selectExpr("id AS doc_id", "concat('s', id) AS source")
+    rows = mixing.schedule(docs).select("doc.doc_id", "slot", "epoch").collect()
+    assert sorted(r.doc_id for r in rows) == list(range(5000)) == sorted(r.slot for r in rows)
+
+
+def test_a_small_weight_is_not_raised(spark):
+    docs = spark.range(101).selectExpr("id AS doc_id", "if(id = 100, 'tiny', 'big') AS source")
+    rows = mixing.schedule(docs, {"big": 1.0, "tiny": 1e-4}, block_docs=1).select("mix_source", "slot").collect()
+    tiny = [r.slot for r in rows if r.mix_source == "tiny"]
+    end = 1 + max(r.slot for r in rows)
+    assert len(rows) == end and len(tiny) == 1 and abs(1 - end * 1e-4 / 1.0001) < 1
+
+
 def test_mix_once_and_odd_rows(odd, empty):
     got = mixing.interleave(odd)
     assert got.columns == odd.columns and sorted(got.collect(), key=repr) == sorted(odd.collect(), key=repr)
