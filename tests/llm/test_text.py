@@ -4,6 +4,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -177,6 +178,12 @@ def test_probabilities_sum_to_one():
     assert math.isclose(np.sum(10.0 ** (scores - base)), 1, rel_tol=1e-4)
 
 
+def test_training_share_and_overlap():
+    readme = (Path(__file__).parents[2] / "README.md").read_text()
+    assert f"training on 1/{lm_score.TRAIN_SHARE} of all" in readme and f"({lm_score.CLASSES} classes)" in readme
+    assert lm_score.WINDOW - lm_score.FRESH >= 8 and lm_score.CLASSES >= 64
+
+
 def test_windows_score_every_id_once():
     lengths = np.array([0, 1, 31, 32, 33, 56, 57, 500])
     doc, first, scored = lm_score.windows_of(lengths)
