@@ -9,6 +9,11 @@ whose class, id or role names such a part, are bad. Of the others:
 2. An ambiguous block takes the label of the nearest decided block of the same container (the
    innermost article or main, else the page); of two equally near, good wins. In a
    container without decided blocks it is good if that is an article or main, else bad.
+
+Stop words exist for four languages. Where blocks with enough of them hold less than half of a
+container's text in long blocks with few links, as in any other language, length and links alone make
+a block good. In an article or main without any good block (short blocks, lists, code) all blocks with few
+links are good; outside of them such a page stays empty.
 """
 
 from __future__ import annotations
@@ -137,11 +142,13 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
     return out
 
 
-def label(line: str, link_chars: int) -> int:
-    """1 good, -1 bad, 0 ambiguous."""
+def label(line: str, link_chars: int, known: bool = True) -> int:
+    """1 good, -1 bad, 0 ambiguous; stop words count in a ``known`` language only."""
     if link_chars > MAX_LINKS * len(line.replace(" ", "")):
         return -1
     if len(line) >= MIN_GOOD:
+        if not known:
+            return 1
         words = WORD.findall(line.lower())
         if words and sum(w in STOP_WORDS for w in words) >= STOP_DENSITY * len(words):
             return 1
@@ -171,7 +178,11 @@ def main_text(page: str | None) -> str:
         by.setdefault((b[2], b[3]), []).append(i)
     keep = [False] * len(found)
     for (_, kind), ids in by.items():
-        for i, good in zip(ids, inherit([label(*found[i][:2]) for i in ids], kind == 1)):
+        labels = [label(*found[i][:2]) for i in ids]
+        long = [label(*found[i][:2], known=False) for i in ids]
+        size = lambda of: sum(len(found[i][0]) for i, x in zip(ids, of) if x == 1)
+        labels = labels if 2 * size(labels) >= size(long) > 0 else long
+        for i, good in zip(ids, inherit(labels, False) if 1 in labels else [kind == 1 and x == 0 for x in labels]):
             keep[i] = good
     return "\n".join(b[0] for b, k in zip(found, keep) if k)
 

@@ -272,6 +272,23 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+POLISH = ["Wczoraj wieczorem mieszkańcy miasteczka zebrali się na rynku, żeby obejrzeć pokaz ogni sztucznych.", "Organizatorzy zapowiedzieli już kolejną edycję wydarzenia, która odbędzie się przyszłego lata nad rzeką."]
+
+
+@pytest.mark.parametrize("wrap", ["<div>{}</div>", "<article>{}</article>"])
+def test_a_language_without_stop_words(wrap):
+    links = '<p><a href="/a">Strona główna serwisu</a> <a href="/b">Wiadomości</a></p>'
+    page = links + wrap.format(f"{links}<p>{POLISH[0]}</p><p>{POLISH[1]}</p>{links}")
+    assert html_text.main_text(page) == "\n".join(POLISH)
+    notice = "<p>We use cookies so that the site can do what you want of it, and you can say no to all of them.</p>"
+    assert set(POLISH) < set(html_text.main_text(wrap.format(f"{notice}{links}<p>{POLISH[0]}</p><p>{POLISH[1]}</p><p>{POLISH[0]} {POLISH[1]}</p>")).split("\n"))
+
+
+def test_an_article_of_short_blocks():
+    links = '<p><a href="/a">Home</a> <a href="/b">News</a></p>'
+    assert html_text.main_text(f"<article>{links}<ul><li>two eggs</li><li>milk</li></ul></article>") == "two eggs\nmilk"
+
+
 def test_ambiguous_blocks_take_the_nearest_label():
     assert html_text.inherit([0, 1, 0, 0, -1, 0], False) == [True, True, True, False, False, False]
     assert html_text.inherit([1, 0, -1], False) == [True, True, False]
