@@ -15,6 +15,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 _local_dirs: dict[str, str] = {}
 
@@ -84,6 +85,14 @@ def hashed_share(key: Column, share: float | Column) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit(""))), F.lit(1_000_003)) < F.lit(1_000_003) * share
 
 
+def integer_id(docs: DataFrame) -> Column:
+    """``doc_id`` as a long; TypeError if it is of no integer type."""
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, (IntegralType, NullType)):
+        raise TypeError(f"doc_id must be of an integer type, not {kind.simpleString()}")
+    return F.col("doc_id").cast("long").alias("doc_id")
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have, ignoring case."""
     have = {c.lower() for c in df.columns}
