@@ -1,45 +1,14 @@
-"""Helpers shared by the corpus operators: shared storage, global order, splits.
-
-Every intermediate table goes to the folder that the session names in
-``spark.checkpoint.dir``; the next job reads committed files, so a lost executor
-costs the re-run of its own tasks and never of the whole lineage.
-"""
+"""Helpers shared by the corpus operators: global order, splits, sampling, names."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, NullType
 
-_local_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach. Only a local master may go without the setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = path = tempfile.mkdtemp(prefix="spark-gridloom-")
-        pid = os.getpid()
-        atexit.register(lambda: pid == os.getpid() and shutil.rmtree(path, ignore_errors=True))
-    return _local_dirs[app]
+from ..sources.storage import new_folder, save, shared_dir
 
-
-def save(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to a new folder of the shared store and return a scan of it."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["add_starts", "crc_mod", "free_name", "hashed_share", "integer_id", "new_folder", "ordered", "read", "remainder_is", "salted_join", "save", "shared_dir"]
 
 
 def ordered(df: DataFrame, *keys: Column | str) -> DataFrame:
@@ -93,6 +62,13 @@ def integer_id(docs: DataFrame) -> Column:
     return F.col("doc_id").cast("long").alias("doc_id")
 
 
+def salted_join(rows: DataFrame, few: DataFrame, keys: list[str], spread: Column, parts: int = 16) -> DataFrame:
+    """Inner join in which the rows of one key are dealt over ``parts`` tasks by a hash of ``spread``;
+    each row of ``few``, which should be the smaller side by far, is copied to all of them."""
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(parts)))
+    return left.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))), [*keys, "_salt"]).drop("_salt")
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have, ignoring case."""
     have = {c.lower() for c in df.columns}

@@ -1,11 +1,13 @@
 """Main text of HTML pages by two passes of block rules.
 
 A page is cut at block tags. Blocks inside navigation, forms and the like, or inside elements
-whose class, id or role names such a part, are bad. Of the others:
+whose class, id or role can only name such a part ("cookie-bar", "related-posts"), are bad. A name that
+might also be a subject ("related-work", "social-history": a mark beside a word that isn't one of layout)
+counts in pass 1 only. Of the other blocks:
 
 1. *good*: at least ``MIN_GOOD`` characters, ``STOP_DENSITY`` of the words are stop words and links
-   hold at most ``MAX_LINKS`` of the characters; *bad*: links hold more than that;
-   all others are ambiguous.
+   hold at most ``MAX_LINKS`` of the characters; *bad*: links hold more than that, or the block isn't good
+   and inside an element with a doubtful name; all others are ambiguous.
 2. An ambiguous block takes the label of the nearest decided block of the same container (the
    innermost article or main, else the page); of two equally near, good wins. In a
    container without decided blocks it is good if that is an article or main, else bad.
@@ -41,13 +43,16 @@ al como con de del desde donde el ella en entre era es esta este ha hay la las l
 
 #: elements whose whole content is never main text
 DROPPED = frozenset("head script style noscript template svg math nav footer aside form button select textarea option label fieldset iframe object audio video canvas menu dialog".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed".split())
+RAW = frozenset("script style textarea title noscript iframe xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead title tr ul xmp".split())
 CONTAINERS = frozenset(("article", "main"))
 #: parts of class, id and role names that mark boilerplate
 COMMENTS = frozenset("comment comments commentlist respond reply replies disqus".split())
 MARKS = COMMENTS | frozenset("ad ads adbox adslot adunit adwrap advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation navi menu menus breadcrumb breadcrumbs footer sidebar side aside widget cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login search form pagination pager skip toolbar masthead complementary contentinfo".split())
+#: marks that are also subjects; they are sure only where the rest of the name is marks and words of layout
+DOUBTFUL = frozenset("alert aside banner comment complementary form login menu menus notice notices overlay overlays popup promotion promo recommended related reply replies respond search share sharing side skip social sponsor sponsored subscription toolbar widget".split())
+LAYOUT = frozenset("area areas article articles author bar bars block blocks body bottom box boxes btn button buttons card cards center col cols column columns container content count date desktop div entry entries feed field first follow form global grid group head header heading hero holder icon icons id in inner input item items js label last layer layout left level line link links list lists main me media message meta mobile modal module modules more my new news on outer page pages pane panel panels post posts primary right role row rows secondary section sections site slot small stack sticky stories story strip sub text thread tile tiles title toggle top trigger ui unit up us user view wrap wrapper wrapping zone".split())
 #: words that turn such a part into a remark on the layout ("has-sidebar", "comments-open")
 NOT_AFTER = frozenset("has with no without".split())
 NOT_BEFORE = frozenset("open closed enabled disabled".split())
@@ -59,23 +64,26 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def marked(attributes: str, marks: frozenset[str] = MARKS) -> bool:
-    """Whether class, id or role names a part that isn't main text."""
+def marked(attributes: str, marks: frozenset[str] = MARKS) -> int:
+    """Whether class, id or role names a part that isn't main text: 2 surely, 1 perhaps, 0 not."""
+    found = 0
     if "=" not in attributes:
-        return False
+        return found
     for m in NAMES.finditer(attributes):
         for name in "".join(m.groups("")).split():
             parts = PARTS.findall(CAMEL.sub(" ", name).lower())
+            plain = all(part in MARKS or part in LAYOUT for part in parts)
             for k, part in enumerate(parts):
                 if part in marks and not (k and parts[k - 1] in NOT_AFTER) and not (k + 1 < len(parts) and parts[k + 1] in NOT_BEFORE):
-                    return True
-    return False
+                    found = max(found, 1 if part in DOUBTFUL and not plain else 2)
+    return found
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
-    """(text, characters in links, container number, kind of container: 1 article or main, dropped) of each block."""
+def blocks(page: str) -> list[tuple[str, int, int, int, bool, bool]]:
+    """(text, characters in links, container number, kind of container: 1 article or main, dropped, doubtful) of each block."""
     out, parts, link_chars = [], [], 0
     containers, stack = [(0, 0)], []  # open containers; open dropped element: [name, depth, reader comments]
+    doubt = ["", 0]  # outermost open element with a doubtful name, and its depth
     links = count = at = 0
 
     def text(s: str) -> None:
@@ -90,7 +98,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
         nonlocal parts, link_chars
         line = " ".join("".join(parts).split())
         if line:
-            out.append((line, link_chars, *containers[-1], bool(stack)))
+            out.append((line, link_chars, *containers[-1], bool(stack), doubt[1] > 0))
         parts, link_chars = [], 0
 
     while at < len(page):
@@ -107,8 +115,10 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
         if name in RAW and not end:
             stop = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
             at = stop.start() if stop else len(page)
-            if name in ("script", "style", "noscript", "textarea", "iframe", "title"):
+            if name != "xmp":
                 continue
+            close()
+            parts.append(page[m.end() : at])
         if name == "br":
             parts.append(" ")
         elif name == "a":
@@ -125,13 +135,23 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
                     stack.pop()
             elif end and name in ("body", "html", "head"):
                 stack.clear()
-            elif not end and (name in ("body", "main") or name == "article" and not stack[-1][2] and not marked(attributes, COMMENTS)):
+            elif not end and (name in ("body", "main") or name == "article" and not stack[-1][2] and marked(attributes, COMMENTS) < 2):
                 stack.clear()  # the dropped part was never closed, or only wraps the article
             if stack:
                 continue
-        elif not end and (name in DROPPED or name == "header" and len(containers) == 1 or name not in ("html", "body") and marked(attributes, COMMENTS if name in CONTAINERS else MARKS)):
-            stack.append([name, 1, marked(attributes, COMMENTS)])
-            continue
+        elif not end:
+            sure = marked(attributes, COMMENTS if name in CONTAINERS else MARKS) if name not in ("html", "body") else 0
+            if sure == 2 or name in DROPPED or name == "header" and len(containers) == 1:
+                stack.append([name, 1, marked(attributes, COMMENTS) == 2])
+                continue
+            if sure and not doubt[1]:
+                doubt = [name, 0]
+        if name in CONTAINERS and not end:
+            doubt = ["", 0]
+        elif name == doubt[0]:
+            doubt[1] += -1 if end else 1
+            if doubt[1] <= 0:
+                doubt = ["", 0]
         if name in CONTAINERS:
             if not end:
                 count += 1
@@ -178,8 +198,7 @@ def main_text(page: str | None) -> str:
         by.setdefault((b[2], b[3]), []).append(i)
     keep = [False] * len(found)
     for (_, kind), ids in by.items():
-        labels = [label(*found[i][:2]) for i in ids]
-        long = [label(*found[i][:2], known=False) for i in ids]
+        labels, long = ([label(*found[i][:2], known=known) or -found[i][5] for i in ids] for known in (True, False))
         size = lambda of: sum(len(found[i][0]) for i, x in zip(ids, of) if x == 1)
         labels = labels if 2 * size(labels) >= size(long) > 0 else long
         for i, good in zip(ids, inherit(labels, False) if 1 in labels else [kind == 1 and x == 0 for x in labels]):

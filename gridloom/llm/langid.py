@@ -2,14 +2,16 @@
 
 A text's words vote with their log10 frequency in each language. A word that no training text
 has votes with the mean of its known character n-grams of the greatest size, 5 down to
-1, that has any known. The model is fitted on a bounded sample of labelled rows
-(``sample_docs`` expected per language, chosen by a hash of the id) and holds at most
-``max_words`` words and ``max_grams`` n-grams, so it can be sent to every task.
+1, that has any known. The model is fitted on a bounded sample of labelled rows, chosen by a hash of the
+id: about ``sample_docs`` a language, but ``max_docs`` over all languages, which then share them
+evenly. It holds every word and n-gram of the sample, of every language, as sparse rows, so its size is that
+of the sample's vocabulary.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,18 +21,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, hashed_share, remainder_is
+from .common import free_name, hashed_share, remainder_is, save
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 2000
-MAX_WORDS = 100_000
-MAX_GRAMS = 60_000
-MAX_LANGS = 256
+MAX_DOCS = 20_000
+FEW_LANGS = 10_000  # sizes of so many languages are broadcast
 SIZES = (5, 4, 3, 2, 1)
 MEMO_WORDS = 300_000
+MEMO_CELLS = 4_000_000  # votes a worker keeps, over all languages
 #: what a whole gram's mean counts against a known word's vote
 GRAM_WEIGHT = 0.5
-LETTERS = re.compile(r"[^\W\d_]+")
+#: word characters that are neither letters nor decimal digits, as fractions, superscripts, circled numbers
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -38,20 +42,39 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+class Table:
+    """Log10 frequencies of keys by language; only what differs from an absent key's is stored."""
+
+    def __init__(self, rows: list[tuple[str, str, int]], langs: dict[str, int]):
+        self.at: dict[str, int] = {}
+        key = np.fromiter((self.at.setdefault(k, len(self.at)) for _, k, _ in rows), np.int64, len(rows))
+        lang = np.fromiter((langs[x] for x, _, _ in rows), np.int32, len(rows))
+        n = np.fromiter((n for _, _, n in rows), np.float64, len(rows))
+        total = np.bincount(lang, n, len(langs)) + 0.5 * (len(self.at) + 1)
+        order = np.argsort(key, kind="stable")
+        self.ends = np.cumsum(np.bincount(key, minlength=len(self.at)))
+        self.lang, self.more = lang[order], (np.log10(n + 0.5) - np.log10(0.5))[order].astype(np.float32)
+        self.absent = (np.log10(0.5) - np.log10(total)).astype(np.float32)
+
+    def get(self, key: str) -> np.ndarray | None:
+        k = self.at.get(key)
+        if k is None:
+            return None
+        own = slice(self.ends[k - 1] if k else 0, self.ends[k])
+        out = self.absent.copy()
+        out[self.lang[own]] += self.more[own]
+        return out
+
+    __getitem__ = get
+
+
 class Model:
-    """Vote tables; ``langs`` in ascending order, so that ties go to the first."""
+    """Vote tables; ``langs`` in ascending order, so that ties go to the first. Rows are (language, key, times), a pair once."""
 
     def __init__(self, langs: list[str], prior: list[float], words: list[tuple[str, str, int]], parts: list[tuple[str, str, int]]):
         self.langs, self.prior = langs, np.array(prior)
-        self.words, self.grams = self._table(words), self._table(parts)
-
-    def _table(self, rows) -> dict[str, np.ndarray]:
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        count: dict[str, np.ndarray] = {}
-        for lang, key, n in rows:
-            count.setdefault(key, np.zeros(len(at)))[at[lang]] += n
-        total = sum(count.values(), np.zeros(len(at)))
-        return {k: np.log10((c + 0.5) / (total + 0.5 * (len(count) + 1))).astype(np.float32) for k, c in count.items()}
+        at = {lang: i for i, lang in enumerate(langs)}
+        self.words, self.grams = Table(words, at), Table(parts, at)
 
     def vote(self, word: str) -> np.ndarray:
         got = self.words.get(word)
@@ -69,14 +92,15 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.row = model, {}
-        self.votes = np.zeros((MEMO_WORDS + 1, max(1, len(model.langs))), np.float32)
+        self.most = max(2, min(MEMO_WORDS, MEMO_CELLS // max(1, len(model.langs))))
+        self.votes = np.zeros((self.most + 1, max(1, len(model.langs))), np.float32)
 
     def rows(self, words: list[str]) -> list[int]:
         memo = self.row
         out = [memo.get(w, -1) for w in words]
         for i, r in enumerate(out):
             if r < 0:
-                if len(memo) >= MEMO_WORDS:
+                if len(memo) >= self.most:
                     raise OverflowError
                 w = words[i]
                 memo[w] = out[i] = len(memo)
@@ -88,8 +112,8 @@ class Scorer:
         if not found or not self.model.langs:
             return UNKNOWN, 0.0
         total, words, times = self.model.prior.copy(), list(found), np.fromiter(found.values(), np.float32, len(found))
-        for at in range(0, len(words), MEMO_WORDS // 2):
-            part = words[at : at + MEMO_WORDS // 2]
+        for at in range(0, len(words), self.most // 2):
+            part = words[at : at + self.most // 2]
             try:
                 rows = self.rows(part)
             except OverflowError:
@@ -122,26 +146,22 @@ def _gram_counts(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["lang", "key", "n"])
 
 
-def fit(docs: DataFrame, held_out: Column, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+def fit(docs: DataFrame, held_out: Column, sample_docs: int = SAMPLE_DOCS, max_docs: int = MAX_DOCS) -> Model:
     """Learn from rows that aren't ``held_out`` and have text and lang."""
     labelled = docs.select("doc_id", F.col("text"), F.col("lang").cast("string").alias("lang")).filter(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
-    if not sizes:
+    sizes = save(labelled.groupBy("lang").agg(F.count("*").alias("n")), "language-sizes")
+    kinds = sizes.count()
+    if not kinds:
         return Model([], [], [], [])
-    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_docs / n))])
-    sample = labelled.filter(hashed_share(F.col("doc_id"), F.coalesce(shares[F.col("lang")], F.lit(0.0)))).select("lang", "text")
+    share = sizes.select("lang", F.least(F.lit(1.0), F.lit(min(sample_docs, max_docs / kinds)) / F.col("n")).alias("_share"))
+    sample = labelled.join(F.broadcast(share) if kinds <= FEW_LANGS else share, "lang").filter(hashed_share(F.col("doc_id"), F.col("_share"))).select("lang", "text")
     kind = "lang string, key string, n long"
-
-    def most(df: DataFrame, limit: int) -> list[tuple[str, str, int]]:
-        grouped = df.groupBy("lang", "key").agg(F.sum("n").alias("n"))
-        return [tuple(r) for r in grouped.orderBy(F.desc("n"), "key", "lang").limit(limit).collect()]
-
-    words = most(sample.mapInPandas(_word_counts, kind), max_words)
-    parts = most(docs.sparkSession.createDataFrame(words, kind).mapInPandas(_gram_counts, kind), max_grams) if words else []
-    langs, total = sorted(sizes), sum(sizes.values())
-    return Model(langs, [float(np.log10(sizes[x] / total)) for x in langs], words, parts)
-
-
+    words = save(sample.mapInPandas(_word_counts, kind).groupBy("lang", "key").agg(F.sum("n").alias("n")), "language-words")
+    parts = words.mapInPandas(_gram_counts, kind).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    rows = lambda df: [tuple(r) for r in df.orderBy("key", "lang").collect()]  # noqa: E731  # the vocabulary of the sample
+    found = words.select("lang").distinct().join(sizes, "lang").orderBy("lang").collect()  # no more than rows in the sample
+    total = sum(r["n"] for r in found)
+    return Model([r["lang"] for r in found], [float(np.log10(r["n"] / total)) for r in found], rows(words), rows(parts))
 
 
 def predictor(docs: DataFrame, model: Model):

@@ -5,7 +5,8 @@ blank. Its *documents* on a host are distinct texts, so that a copied text count
 A line is removed where more than ``host_limit`` documents of its host or more than
 ``corpus_limit`` documents of all hosts have it; a document that loses more than
 ``1 - min_left`` of its words is depleted. Counts are grouped map-side before
-they are shuffled, and only lines above a limit are joined back.
+they are shuffled, and only lines above a limit are joined back, the rows of each dealt over 16 tasks
+so that a line of a third of all documents isn't one task's.
 
 Null text has no words (base_failed); a null source is a host of its own; repeated rows
 are judged alike, each giving a row; an empty table gives no rows; extra columns are ignored.
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, save
+from .common import free_name, salted_join, save
 
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
@@ -85,14 +86,15 @@ def frequent_lines(rows: DataFrame, host_limit: int, corpus_limit: int) -> DataF
     seen = rows.select("host", "text_key", F.explode(F.array_distinct(F.transform("keys", lambda k: k["h"]))).alias("h"))
     per_host = save(seen.groupBy("host", "h").agg(F.count_distinct("text_key").alias("docs")), "line-counts")
     total = per_host.groupBy("h").agg(F.sum("docs").alias("total")).filter(F.col("total") > corpus_limit)
-    return per_host.join(total, "h", "left").filter((F.col("docs") > host_limit) | F.col("total").isNotNull()).select("host", "h")
+    everywhere = salted_join(per_host, total, ["h"], F.col("host")).select("host", "h")  # a line of all hosts has a row a host
+    return per_host.filter(F.col("docs") > host_limit).select("host", "h").union(everywhere).distinct()
 
 
 def judge(docs: DataFrame, host_limit: int = HOST_LIMIT, corpus_limit: int = CORPUS_LIMIT, min_left: float = MIN_LEFT) -> DataFrame:
     """doc_id, n_words, the four base counts, base_failed, removed_words, kept."""
     rows = measured(docs)
     lines = rows.select("row", "host", F.explode("keys").alias("k")).select("row", "host", F.col("k.h").alias("h"), F.col("k.words").alias("words"))
-    removed = lines.join(frequent_lines(rows, host_limit, corpus_limit), ["host", "h"]).groupBy("row").agg(F.sum("words").alias("removed"))
+    removed = salted_join(lines, frequent_lines(rows, host_limit, corpus_limit), ["host", "h"], F.col("row")).groupBy("row").agg(F.sum("words").alias("removed"))
     n, removed_words = F.col("n_words"), F.coalesce(F.col("removed"), F.lit(0))
     failed = (n < MIN_WORDS) | (F.col("n_repeat_words") > MAX_REPEATED * n)
     return rows.join(removed, "row", "left").select(
@@ -112,7 +114,7 @@ def clean(docs: DataFrame, host_limit: int = HOST_LIMIT, corpus_limit: int = COR
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = save(stored.select(F.col(row).alias("row"), F.coalesce(F.col("source").cast("string"), F.lit(NO_HOST)).alias("host"), F.xxhash64(text).alias("text_key"), line_keys(F.split(text, "\n")).alias("keys")), "line-keys")
     lines = rows.select("row", "host", F.explode("keys").alias("k")).select("row", "host", F.col("k.h").alias("h"), F.col("k.words").alias("words"))
-    hit = lines.join(frequent_lines(rows, host_limit, corpus_limit), ["host", "h"])
+    hit = salted_join(lines, frequent_lines(rows, host_limit, corpus_limit), ["host", "h"], F.col("row"))
     per_row = hit.groupBy(F.col("row").alias(row)).agg(F.sum("words").alias(keys), F.collect_set("h").alias(bad))
     kept = stored.join(per_row, row, "left").filter(F.coalesce(F.size(words_of(F.col("text"))) - F.col(keys) >= min_left * F.size(words_of(F.col("text"))), F.lit(True)))
     left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col(bad), F.xxhash64(norm_line(x))))

@@ -2,9 +2,9 @@
 
 An Aho-Corasick automaton over all magic bytes runs once over a binary value. Each hit goes to
 its format's validator, which walks the structure (chunks, blocks or segments), checks
-lengths and checksums, and returns where the file ends. The first valid hit at offset 0
-corrects the declared type; all valid hits that lie in no earlier one's plain
-header are carved with offset and length.
+lengths and checksums, and returns where the file ends. The valid hit at offset 0
+corrects the declared type; every valid hit is carved with offset and length, also one that lies
+inside another's data.
 
 Text payloads are stored as 8-bit mono PCM in a RIFF container. The column is written as a
 Parquet table and read back, and features come from the carved samples only.

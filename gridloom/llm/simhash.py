@@ -1,7 +1,8 @@
 """SimHash near-duplicates by anchor-point covering.
 
 Fingerprints that differ in at most ``4`` of 64 bits differ in at most one bit of one of
-three bit blocks (22, 21 and 21 bits). Each block's anchors are a covering code:
+three bit blocks (22, 21 and 21 bits), as two bits in each would be six: threshold 4 on all bits becomes
+threshold 1 in some block. Each block's anchors are a covering code:
 the [15,11] Hamming code on its low 15 bits (covering radius 1) times all words of the rest.
 A fingerprint's *home* is the anchor within the covering radius; it is replicated to every
 anchor that can be the home of a partner (distance at most radius + 1, 13.6 anchors on average

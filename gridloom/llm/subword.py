@@ -20,6 +20,7 @@ PROSE = frozenset("abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîï
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 END_ID = 1
 MEMO_WORDS = 600_000
+WORDS_AT_ONCE = 100_000  # words by which the memo may outgrow that
 
 _loaded: dict[str, "WordIds"] = {}
 
@@ -72,18 +73,31 @@ class WordIds(dict):
         self[word] = got
         return got
 
+    def of_word(self, word: str) -> bytes:
+        """Ids of a text without ASCII white space, whatever else is in it."""
+        if len(self) > MEMO_WORDS:
+            self.clear()
+        return self.whole(word) if ODD_SPACE.search(word) else self[word]
+
     def encode(self, text: str | None) -> bytes:
         """Ids of ``text`` (null: none) with the end id."""
         if not text:
             return END_BYTES
         if ODD_SPACE.search(text):
             return self.whole(text) + END_BYTES
-        if len(self) > MEMO_WORDS:
-            self.clear()
         low = text.lower()
         prose = PROSE.issuperset(low) and not (".." in low or ",," in low or ".," in low or ",." in low)
         words = low.replace(".", " . ").replace(",", " , ").split() if prose else text.split()
-        return b"".join(map(self.__getitem__, words)) + END_BYTES
+        if len(self) > MEMO_WORDS:
+            self.clear()
+        if len(words) <= WORDS_AT_ONCE:
+            return b"".join(map(self.__getitem__, words)) + END_BYTES
+        out = []
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            out += map(self.__getitem__, words[at : at + WORDS_AT_ONCE])
+            if len(self) > MEMO_WORDS:
+                self.clear()
+        return b"".join(out) + END_BYTES
 
 
 END_BYTES = END_ID.to_bytes(4, "little")

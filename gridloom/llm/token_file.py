@@ -11,9 +11,9 @@ A *block* holds consecutive documents in ascending doc_id order (nulls first):
     i64 doc_id per document | u8 "has an id" per document | u32 ids per document
     control bytes | data bytes
 
-The rank table is a small table of its own (at most one row per vocabulary entry).
-Blocks are cells of a Parquet table, since Spark's writers are the only way to commit
-files atomically on any store that a cluster mounts.
+A token file is a folder of two Parquet tables, as Spark's writers are the only way to commit files
+atomically on any store that a cluster mounts: ``blocks`` with a block a row, and ``ranks`` (rank, id), at
+most one row per vocabulary entry. The folder is all that a reader needs.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import subword
-from .common import add_starts, ordered, save
+from .common import add_starts, integer_id, new_folder, ordered, save
 
 MAGIC = b"FRB1"
 HEADER = struct.Struct("<4sIQI")
@@ -161,19 +161,22 @@ def _decode(by_rank: np.ndarray):
     return run
 
 
-def write_blocks(docs: DataFrame, path: str | None = None, block_ids: int = BLOCK_IDS) -> tuple[DataFrame, np.ndarray]:
-    """The stored block table (_place, n_ids, block) and the ids in rank order.
+def write_blocks(docs: DataFrame, folder: str, path: str | None = None, block_ids: int = BLOCK_IDS) -> None:
+    """Write the token file of ``docs`` to a new ``folder``.
 
-    Null text counts as empty and keeps its end id; null doc_ids come first; repeated rows
-    stay; an empty table gives no blocks. Other columns are ignored, whatever their names.
+    ``doc_id`` must be of an integer type (TypeError otherwise). Null text counts as empty and keeps its end
+    id; null doc_ids come first; repeated rows stay; an empty table gives no blocks. Other columns are
+    ignored, whatever their names.
     """
     path = path or subword.default_path()
-    placed = ordered(docs.select("doc_id", "text"), "doc_id")
+    placed = ordered(docs.select(integer_id(docs), "text"), "doc_id")
     stored = save(placed.select("doc_id", "text", "_place").mapInArrow(_narrow(path), "doc_id long, _place long, wide boolean, ids binary"), "token-ids")
     tokens = stored.filter("_place is not null")
     counts = stored.filter("_place is null").select("ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     by_rank = np.array([r["id"] for r in sorted(counts.collect(), key=lambda r: (-r["n"], r["id"]))], np.int64)  # one row per vocabulary entry at most
-    return save(tokens.mapInArrow(_encode(by_rank, block_ids), "_place long, n_ids long, block binary"), "token-blocks", "uncompressed"), by_rank
+    ranks = docs.sparkSession.createDataFrame([(k, int(i)) for k, i in enumerate(by_rank)], "rank long, id long")
+    save(ranks.coalesce(1), "ranks", path=f"{folder}/ranks")
+    save(tokens.mapInArrow(_encode(by_rank, block_ids), "_place long, n_ids long, block binary"), "blocks", "uncompressed", f"{folder}/blocks")
 
 
 def block_starts(blocks: DataFrame) -> DataFrame:
@@ -183,11 +186,16 @@ def block_starts(blocks: DataFrame) -> DataFrame:
     return starts.select("_place", (F.col("before") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).alias("start"))
 
 
-def read_blocks(blocks: DataFrame, by_rank: np.ndarray) -> DataFrame:
-    """One row per document read back: doc_id, start, n_tokens, ids_crc32."""
-    rows = blocks.select("_place", "block").mapInArrow(_decode(by_rank), "_place long, doc_id long, inside long, n_tokens long, ids_crc32 long")
+def read_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document of a token file: doc_id, start, n_tokens, ids_crc32."""
+    ranks = spark.read.schema("rank long, id long").parquet(f"{folder}/ranks").orderBy("rank").toArrow()  # one row per vocabulary entry at most
+    blocks = spark.read.schema("_place long, n_ids long, block binary").parquet(f"{folder}/blocks")
+    rows = blocks.select("_place", "block").mapInArrow(_decode(ranks.column("id").to_numpy()), "_place long, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return rows.join(block_starts(blocks), "_place").select("doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return read_blocks(*write_blocks(docs, path))
+    """:func:`read_blocks` of what :func:`write_blocks` stores of ``docs``."""
+    folder = new_folder(docs.sparkSession, "token-file")
+    write_blocks(docs, folder, path)
+    return read_blocks(docs.sparkSession, folder)

@@ -18,6 +18,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,7 @@ STEPS = 150
 RIDGE = 1e-3
 THRESHOLD = 0.3
 MEMO_WORDS = 600_000
+WORDS_AT_ONCE = 100_000  # words by which the memo may outgrow that
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -61,10 +63,12 @@ class Features(dict):
         return got
 
     def of_text(self, text: str | None) -> np.ndarray:
-        if len(self) > MEMO_WORDS:
-            self.clear()
         words = Counter(WORDS.findall(text.lower())) if text else {}
-        each = list(map(self.__getitem__, words))
+        each = []
+        for some in batched(words, WORDS_AT_ONCE):
+            if len(self) > MEMO_WORDS:
+                self.clear()
+            each += map(self.__getitem__, some)
         flat = np.frombuffer(b"".join(each), np.uint32)
         times = np.repeat(np.fromiter(words.values(), np.int64, len(each)), np.fromiter(map(len, each), np.int64, len(each)) // 4)
         bucket, where = np.unique(flat, return_inverse=True)

@@ -1,13 +1,14 @@
 """Subword ids, token blocks and packing against the tokenizer library and brute force."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gridloom.llm import packing, subword, token_file
+from gridloom.llm import common, packing, subword, token_file
 
 IDS = subword.WordIds(subword.default_path())
 
@@ -71,9 +72,45 @@ def test_token_file_on_a_whole_table(docs):
 
 
 def test_small_blocks(docs):
-    blocks, by_rank = token_file.write_blocks(docs.limit(50), block_ids=500)
-    assert blocks.count() > 20
-    assert sorted(tuple(r) for r in token_file.read_blocks(blocks, by_rank).collect()) == sorted(expected_starts([(r.doc_id, r.text) for r in docs.limit(50).collect()]))
+    folder = common.new_folder(docs.sparkSession, "tokens")
+    token_file.write_blocks(docs.limit(50), folder, block_ids=500)
+    assert docs.sparkSession.read.parquet(f"{folder}/blocks").count() > 20
+    assert sorted(tuple(r) for r in token_file.read_blocks(docs.sparkSession, folder).collect()) == sorted(expected_starts([(r.doc_id, r.text) for r in docs.limit(50).collect()]))
+
+
+def test_another_session_reads_the_folder(docs):
+    """The folder is all that a reader needs: ranks and blocks by their definition, and by a new session."""
+    import pyarrow.parquet as pq
+
+    folder = common.new_folder(docs.sparkSession, "tokens")
+    token_file.write_blocks(docs, folder)
+    ranks = pq.read_table(f"{folder}/ranks").to_pydict()
+    by_rank = np.array([i for _, i in sorted(zip(ranks["rank"], ranks["id"]))])
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    count = Counter(i for t in rows.values() for i in library(t))
+    assert by_rank.tolist() == sorted(count, key=lambda i: (-count[i], i))
+    seen = {}
+    for block in pq.read_table(f"{folder}/blocks").column("block").to_pylist():
+        ids, sizes, values = token_file.decode_block(block)
+        for doc, part in zip(ids, np.split(by_rank[values], np.cumsum(sizes)[:-1])):
+            seen[doc] = part.tolist()
+    assert seen == {i: list(library(t)) for i, t in rows.items()}
+    other = docs.sparkSession.newSession()
+    assert sorted(tuple(r) for r in token_file.read_blocks(other, folder).collect()) == sorted(expected_starts(list(rows.items())))
+
+
+def test_ids_of_many_words(monkeypatch):
+    text = " ".join(f"wort{i}" for i in range(3000)) + " wort1 wort2"
+    want = library(text)
+    monkeypatch.setattr(subword, "MEMO_WORDS", 20)
+    monkeypatch.setattr(subword, "WORDS_AT_ONCE", 7)
+    few = subword.WordIds(subword.default_path())
+    assert np.frombuffer(few.encode(text), "<u4").tolist() == list(want) and len(few) <= 200
+
+
+def test_ids_must_be_numbers(spark):
+    with pytest.raises(TypeError, match="integer"):
+        token_file.round_trip(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 def test_token_file_odd_rows(odd, empty):
@@ -128,3 +165,12 @@ def test_open_windows_follow_the_rule():
     count = iter(range(100))
     w = packing.OpenWindows(2, 10, lambda: next(count))
     assert [w.place(n) for n in (6, 7, 3, 8, 2)] == [(0, 0), (1, 0), (1, 7), (2, 0), (2, 8)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("abcAB .,!'\n\t\x1c\x0b1é́ßÿİΣK日_-<|> \xa0")), max_size=40))
+def test_ids_are_those_of_the_words(text):
+    """What the language model relies on: words split at ASCII white space, in ASCII lower case."""
+    words = text.encode().lower().split()
+    ids = [i for w in words for i in np.frombuffer(IDS.of_word(w.decode()), "<u4").tolist()]
+    assert [*ids, subword.END_ID] == library(text)
