@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, save
+from .common import free_name, integer_id, save
 
 #: magic bytes, format, and where in a file they stand; fixed values of the formats
 SIGNATURES = (
@@ -254,7 +254,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store(docs: DataFrame) -> DataFrame:
     """Every text's payload as a stored media column: doc_id, declared, n_bytes, media."""
-    return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_store, STORED), "media")
+    return save(docs.select(integer_id(docs), "text").mapInArrow(_store, STORED), "media")
 
 
 def round_trip(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import subword
-from .common import save
+from .common import integer_id, save
 
 WINDOW = 2048
 OPEN_WINDOWS = 48
@@ -104,7 +104,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = WINDOW, open_wind
     ignored, whatever their names. Sequence ids are unique, not consecutive.
     """
     path = path or subword.default_path()
-    rows = save(docs.select("doc_id", "text").mapInArrow(_pack_partition(path, size, open_windows), PIECES), "pack")
+    rows = save(docs.select(integer_id(docs), "text").mapInArrow(_pack_partition(path, size, open_windows), PIECES), "pack")
     pieces = rows.filter("kind = 0").drop("kind")
     left = rows.filter("kind = 1").select("window", F.col("length").alias("used"), F.shiftright("window", 33).alias("grp"))
     groups = (left.agg(F.max("grp")).first()[0] or 0) + 1

@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import free_name, integer_id, save
 
 SHINGLE = 4
 BITS = 4
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = pa.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(integer_id(docs), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def home_anchors(fp: np.ndarray) -> list[np.ndarray]:
@@ -219,7 +219,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, chunk_homes: int = CHUNK_HOMES) -> DataFrame:
-    """doc_id, fp, component_id for every row of ``docs``.
+    """doc_id, fp, component_id, root for every row of ``docs``; ``root`` is the smallest fingerprint of the component.
 
     A null or wordless text has fingerprint 0 and links like any other; a row with null
     doc_id gets the id of its component (null if no member has one); repeated rows stay;
@@ -230,8 +230,8 @@ def dedup(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, chunk_homes
     roots = components(links(first.select("fp"), bits, chunk_homes))
     rooted = save(first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     least = save(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "component-minima")
-    ids = save(rooted.join(least, "root").select("fp", "component_id"), "component-ids")
-    return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = save(rooted.join(least, "root").select("fp", "component_id", "root"), "component-ids")
+    return fps.join(ids, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -239,17 +239,27 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first(docs: DataFrame, **params) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, **params) -> DataFrame:
     """``docs`` (all columns) with one row per near-duplicate group: that of the smallest doc_id.
 
-    Of rows that repeat a doc_id, one stays. Rows with a null doc_id can't be told apart, so they
-    take no part and stay.
+    Where the smallest id of a group repeats, one of its rows in that group stays (of the lowest fingerprint, then text);
+    rows that share an id over different texts are told apart. Rows with a null doc_id can't be told
+    apart, so they take no part and stay.
     """
-    known = dedup(docs.filter("doc_id is not null"), **params)
-    rows = save(known.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "near-duplicates")
-    gone = rows.filter("doc_id <> component_id").select("doc_id")
-    again = rows.filter("doc_id = component_id and n > 1").select("doc_id")
-    once = docs.join(gone.union(again).hint("merge"), "doc_id", "left_anti").select(*docs.columns)  # one shuffle of docs at every size
+    known = save(dedup(docs.filter("doc_id is not null"), shingle=shingle, **params), "near-duplicates")
+    rows = save(known.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "near-duplicate-ids")
+    again = rows.filter("n > 1").select("doc_id")
+    gone = rows.filter("n > 1 or doc_id <> component_id").select("doc_id")
+    once = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)  # one shuffle of docs at every size
     if again.isEmpty():
         return once
-    return once.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    fp, root, rank = (free_name(docs, x) for x in ("fingerprint", "root", "rank"))
+
+    @F.arrow_udf("long")
+    def of_text(texts: pa.Array) -> pa.Array:
+        return pa.array([fingerprint(t.as_py(), shingle) for t in texts], pa.int64())
+
+    firsts = known.join(again, "doc_id", "left_semi").filter("doc_id = component_id").select("doc_id", F.col("fp").alias(fp), F.col("root").alias(root)).distinct()
+    several = docs.join(again, "doc_id", "left_semi").withColumn(fp, of_text("text")).join(firsts, ["doc_id", fp])
+    first = F.row_number().over(Window.partitionBy("doc_id", root).orderBy(fp, "text"))
+    return once.unionByName(several.withColumn(rank, first).filter(F.col(rank) == 1).select(*docs.columns))

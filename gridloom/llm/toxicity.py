@@ -9,7 +9,8 @@ times. A feature's value is its log-count ratio
 of the toxic texts (p of P) and the others (q of Q) that have it. Weights come from logistic
 regression on these values. The classifier is fitted on a bounded sample of labelled
 rows: about ``sample_docs`` of each label, chosen by a hash of the id; the bias is then moved to
-the share of toxic rows among all labelled ones. At most ``max_features`` features keep a weight.
+the share of toxic rows among all labelled ones. Every feature of the sample keeps a weight whose ratio is
+told from 0 by ``MIN_Z`` of its standard errors, which are about sqrt(1 / (p + 1) + 1 / (q + 1)).
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ HASH_BITS = 20
 GRAMS = (3, 4, 5, 6, 7)
 LEVELS = (1, 2, 3, 5)
 SAMPLE_DOCS = 6000
-MAX_FEATURES = 10_000
+MIN_Z = 2.0
 MIN_DOCS = 3
 STEPS = 150
 RIDGE = 1e-3
@@ -119,8 +120,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def solve(rows: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights of the chosen features (their places in ``rows``, values ``ratio``) and bias."""
     y = toxic.astype(np.float64)
-    col = np.concatenate(rows).astype(np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    col = np.concatenate(rows).astype(np.int32)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     w, b = np.zeros(len(ratio)), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     m, v = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     for t in range(1, STEPS + 1):
@@ -160,7 +161,7 @@ def _fit(ratio: np.ndarray):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample_docs: int = SAMPLE_DOCS, max_features: int = MAX_FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample_docs: int = SAMPLE_DOCS, min_z: float = MIN_Z) -> Model:
     """Learn from labelled rows that aren't ``held_out``; contradicting labels of an id count as toxic."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(~held_out)
@@ -177,7 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample_docs: int =
         return Model(*none, float(np.log(n[1] / n[0])))
     counts = sample.mapInArrow(_count, "feature long, n long, p long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).filter(F.col("n") >= MIN_DOCS)
     ratio = F.log((F.col("p") + 1) / (drawn[1] + 1)) - F.log((F.col("n") - F.col("p") + 1) / (drawn[0] + 1))
-    top = counts.select("feature", ratio.alias("ratio"), (F.abs(ratio) * F.sqrt("n")).alias("worth")).orderBy(F.desc("worth"), "feature").limit(max_features).select("feature", "ratio").toArrow()
+    error = F.sqrt(1 / (F.col("p") + 1) + 1 / (F.col("n") - F.col("p") + 1))
+    top = counts.select("feature", ratio.alias("ratio"), error.alias("error")).filter(F.abs("ratio") >= min_z * F.col("error")).orderBy("feature").select("feature", "ratio").toArrow()  # no more than hash buckets
     features, ratios = top.column("feature").to_numpy(), top.column("ratio").to_numpy()
     got = sample.mapInPandas(_select(features), "toxic int, features binary").repartition(1).mapInPandas(_fit(ratios), "weights binary, bias double").collect()
     shift = np.log(n[1] / n[0]) - np.log(drawn[1] / drawn[0])

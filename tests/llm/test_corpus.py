@@ -3,6 +3,7 @@
 import hashlib
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridloom.llm import media, mixing, simhash
+from gridloom.llm import media, mixing, simhash, subword
 
 # mixing
 
@@ -125,6 +126,7 @@ def slow_components(fps, ids, bits=4):
 
 def test_near_duplicates_of_a_table(docs):
     got = simhash.dedup(docs).collect()
+    assert all(r.root <= r.fp for r in got)
     texts = {r.doc_id: r.text for r in docs.collect()}
     fps = [slow_fingerprint(texts[r.doc_id]) for r in got]
     assert [r.fp % 2**64 for r in got] == fps
@@ -175,6 +177,29 @@ def test_near_duplicates_odd_rows(odd, empty):
     assert simhash.dedup(empty).collect() == [] and simhash.keep_first(empty).count() == 0
 
 
+def test_repeated_ids_over_different_texts(spark):
+    text = lambda k: " ".join(f"{w}{k}" for w in ("lorem", "ipsum", "dolor", "sit", "amet", "elit", "sed", "do"))
+    rows = [(5, text(1), "a"), (5, text(2), "b"), (5, text(2), "c"), (7, text(1), "d"), (3, text(3), "e"), (5, text(3), "f"), (9, text(4), "g"), (None, text(4), "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string")
+    kept = simhash.keep_first(docs).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id) == [(3, text(3)), (5, text(1)), (5, text(2)), (9, text(4))] and len(kept) == 5
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows(spark, odd, empty, stage, tmp_path):
+    labels = [(1, 1, 0), (2, 1, 0), (3, 0, 1), (8, None, None), (None, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    run = dict(corpus_pipeline.STAGES)[stage]
+    got = run(spark, odd, str(tmp_path))
+    assert run(spark, empty, str(tmp_path)).count() == 0
+    if stage == "pack":
+        assert got.agg(F.sum("length")).first()[0] == sum(len(subword.word_ids(subword.default_path()).encode(r.text)) // 4 for r in odd.collect())
+    else:
+        key = lambda rows: Counter(repr(r) for r in rows)
+        before, after = key(odd.collect()), key(got.collect())
+        assert got.columns == odd.columns and not after - before and (stage != "mix" or after == before)
+
+
 # media
 
 
