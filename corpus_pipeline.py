@@ -16,27 +16,49 @@ from gridloom.llm.common import read, save
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
+    """Documents whose language can be told (score at least 0.5).
+
+    A null text, one without letters, and all texts where no row has text and lang, go. Repeated rows are judged
+    alike; ties go to the first language in order, so a text between two has a score of 0.5 and stays; an empty
+    table gives no rows.
+    """
     return langid.keep_identified(docs)
 
 
 def clean_speech(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the toxicity threshold."""
+    """Documents below the toxicity threshold of 0.3.
+
+    Null and empty texts have the score of a text without features. Repeated rows are judged alike; of labels that
+    contradict each other 1 counts; without labels of both kinds all documents stay (or go, if all are labelled
+    toxic); an empty table gives no rows.
+    """
     return toxicity.keep_clean(docs, read(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each near-duplicate group, that of the smallest doc_id.
+
+    Null, empty and wordless texts are one group. Rows with a null doc_id stay. Of repeated rows one stays; rows
+    with one id over different texts are told apart; an empty table gives no rows.
+    """
     return simhash.keep_first(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents once, their sources interleaved block by block at their shares."""
+    """All documents once, their sources interleaved block by block at their shares.
+
+    A null source is a source. Null and repeated ids are kept; equal deadlines go by the source's name, rows of
+    equal ids in any order; an empty table gives no rows.
+    """
     return mixing.interleave(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of 2048 tokens."""
+    """Pieces of documents in windows of 2048 tokens.
+
+    A null or empty text is its end token; null ids stay null; repeated rows are packed once each; of windows with equal
+    room the earlier one is taken; an empty table gives no rows.
+    """
     return packing.pack(docs)
 
 
