@@ -29,14 +29,26 @@ MAX_DOCS = 20_000
 FEW_LANGS = 10_000  # sizes of so many languages are broadcast
 SIZES = (5, 4, 3, 2, 1)
 MEMO_WORDS = 300_000
+WHOLE_CELLS = 20_000_000  # of a table, words by languages, up to which it is held unfolded
 MEMO_CELLS = 4_000_000  # votes a worker keeps, over all languages
 #: what a whole gram's mean counts against a known word's vote
 GRAM_WEIGHT = 0.5
 #: word characters that are neither letters nor decimal digits, as fractions, superscripts, circled numbers
 NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+RUNS = re.compile(r"[^\W\d_]+")
 LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 
 
+def words_of(text: str) -> Counter:
+    """How often each run of letters comes, in lower case."""
+    found = Counter(RUNS.findall(text.lower()))
+    for run in [w for w in found if not w.isalpha()]:  # the few with numerals; the pattern that leaves those out is slow
+        n = found.pop(run)
+        for word in LETTERS.findall(run):
+            found[word] += n
+    return found
+
+
 def grams(word: str, n: int) -> list[str]:
     w = f"<{word}>" if n > 1 else word
     return [w[i : i + n] for i in range(len(w) - n + 1)]
@@ -55,17 +67,25 @@ class Table:
         self.ends = np.cumsum(np.bincount(key, minlength=len(self.at)))
         self.lang, self.more = lang[order], (np.log10(n + 0.5) - np.log10(0.5))[order].astype(np.float32)
         self.absent = (np.log10(0.5) - np.log10(total)).astype(np.float32)
+        self.rows = None
 
-    def get(self, key: str) -> np.ndarray | None:
-        k = self.at.get(key)
-        if k is None:
-            return None
-        own = slice(self.ends[k - 1] if k else 0, self.ends[k])
-        out = self.absent.copy()
-        out[self.lang[own]] += self.more[own]
-        return out
+    def unfold(self) -> None:
+        """Whole rows instead of sparse ones, where they are few enough to hold; the values are the same."""
+        if len(self.at) * len(self.absent) <= WHOLE_CELLS:
+            self.rows = np.tile(self.absent, (len(self.at), 1))
+            self.rows[np.repeat(np.arange(len(self.at)), np.diff(self.ends, prepend=0)), self.lang] += self.more
+
+    def mean(self, places: list[int]) -> np.ndarray:
+        if self.rows is not None:
+            return self.rows[places].mean(axis=0) if len(places) > 1 else self.rows[places[0]]
+        out = np.zeros(len(self.absent), np.float32)
+        for k in places:
+            own = slice(self.ends[k - 1] if k else 0, self.ends[k])
+            out[self.lang[own]] += self.more[own]
+        return self.absent + out / np.float32(len(places))
 
-    __getitem__ = get
+    def __getitem__(self, key: str) -> np.ndarray:
+        return self.mean([self.at[key]])
 
 
 class Model:
@@ -77,13 +97,13 @@ class Model:
         self.words, self.grams = Table(words, at), Table(parts, at)
 
     def vote(self, word: str) -> np.ndarray:
-        got = self.words.get(word)
+        got = self.words.at.get(word)
         if got is not None:
-            return got
+            return self.words.mean([got])
         for n in SIZES:
-            known = [g for g in map(self.grams.get, grams(word, n)) if g is not None]
+            known = [k for k in map(self.grams.at.get, grams(word, n)) if k is not None]
             if known:
-                return GRAM_WEIGHT * np.mean(known, axis=0)
+                return GRAM_WEIGHT * self.grams.mean(known)
         return np.zeros(len(self.langs), np.float32)
 
 
@@ -92,6 +112,8 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.row = model, {}
+        model.words.unfold()
+        model.grams.unfold()
         self.most = max(2, min(MEMO_WORDS, MEMO_CELLS // max(1, len(model.langs))))
         self.votes = np.zeros((self.most + 1, max(1, len(model.langs))), np.float32)
 
@@ -108,7 +130,7 @@ class Scorer:
         return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = Counter(LETTERS.findall(text.lower())) if text else None
+        found = words_of(text) if text else None
         if not found or not self.model.langs:
             return UNKNOWN, 0.0
         total, words, times = self.model.prior.copy(), list(found), np.fromiter(found.values(), np.float32, len(found))
@@ -129,7 +151,7 @@ def _word_counts(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in pdfs:
         counts: dict[str, Counter] = {}
         for lang, text in zip(pdf["lang"], pdf["text"]):
-            counts.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+            counts.setdefault(lang, Counter()).update(words_of(text))
         rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
         yield pd.DataFrame(rows, columns=["lang", "key", "n"])
 
