@@ -84,8 +84,8 @@ def zone_number(lat: Column, lon: Column, given: Column | None = None) -> Column
 
 
 def zone_prefix(zone: Column) -> Column:
-    """Leading digits of a zone text."""
-    return F.nullif(F.regexp_extract(F.trim(zone), r"^[0-9]+", 0), F.lit("")).cast("int")
+    """Leading digits of a zone text; NULL if there are none or they are no 32-bit number."""
+    return F.nullif(F.regexp_extract(F.trim(zone), r"^[0-9]+", 0), F.lit("")).try_cast("int")
 
 
 def is_north(zone: Column) -> Column:

@@ -22,16 +22,18 @@ def encode(text: Column) -> Column:
 
 
 def decode(text: Column) -> Column:
-    """Predefined entities and character references; unknown entities stay as they are.
+    """Predefined entities and character references; unknown entities, and references to what is no
+    character (0, surrogates, above U+10FFFF), stay as they are.
 
     The text is cut at each reference, so that what one yields is never read again.
     """
-    parts = F.regexp_extract_all(text, F.lit(r"(&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};|&(?:lt|gt|quot|apos|amp);|[^&]+|&)"), F.lit(1))
+    parts = F.regexp_extract_all(text, F.lit(r"(&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,8};|&(?:lt|gt|quot|apos|amp);|[^&]+|&)"), F.lit(1))
 
     def one(p: Column) -> Column:
         hex_code = F.conv(F.regexp_extract(p, "^&#[xX]([0-9A-Fa-f]+);$", 1), 16, 10)
         code = F.when(p.rlike("^&#[xX]"), hex_code).when(p.rlike("^&#[0-9]"), F.regexp_extract(p, "^&#([0-9]+);$", 1))
-        out = F.when((F.length(p) > 2) & code.isNotNull(), _char(F.try_to_number(F.lpad(code, 7, "0"), F.lit("9999999")).cast("int")))
+        number = F.when((F.length(p) > 2) & code.isNotNull(), F.try_to_number(F.lpad(code, 8, "0"), F.lit("99999999")).cast("int"))
+        out = F.when(number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF), _char(number))
         for name, sign in ENTITIES.items():
             out = out.when(p == f"&{name};", sign)
         return out.otherwise(p)
@@ -52,14 +54,30 @@ def _char(code: Column) -> Column:
     return F.decode(F.unhex(utf8), "UTF-8")
 
 
+def character(code: Column) -> Column:
+    """The character with a Unicode number; NULL for 0, surrogates and numbers above U+10FFFF."""
+    return F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), _char(code.cast("int")))
+
+
+def skip_mark(text: Column) -> Column:
+    """``text`` without a byte-order mark at its begin."""
+    return F.when(F.startswith(text, F.lit("\ufeff")), F.substring(text, 2, 2**31 - 1)).otherwise(text)
+
+
 def int_attribute(text: Column) -> Column:
-    """Leading whole number; NULL if there is none."""
-    return F.nullif(F.regexp_extract(text, r"^\s*([+-]?[0-9]+)", 1), F.lit("")).cast("int")
+    """Leading whole number; NULL if there is none or it needs more than 32 bits."""
+    return F.nullif(F.regexp_extract(text, r"^\s*([+-]?[0-9]+)", 1), F.lit("")).try_cast("int")
+
+
+def unsigned_attribute(text: Column) -> Column:
+    """Leading whole number as unsigned 32 bits: negative ones wrap; NULL if there is none or it needs more."""
+    v = F.nullif(F.regexp_extract(text, r"^\s*([+-]?[0-9]+)", 1), F.lit("")).try_cast("long")
+    return F.when(v.between(0, 0xFFFFFFFF), v).when(v.between(-0x80000000, -1), v + (1 << 32))
 
 
 def double_attribute(text: Column) -> Column:
     """Leading number; NULL if there is none."""
-    return F.nullif(F.regexp_extract(text, r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1), F.lit("")).cast("double")
+    return F.nullif(F.regexp_extract(text, r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1), F.lit("")).try_cast("double")
 
 
 def bool_attribute(text: Column) -> Column:

@@ -7,28 +7,34 @@ if that is over b; its score is the largest threshold that still passes, at leas
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .focal import suppress
+from .focal import on_tiles, suppress
 
 #: (dy, dx) of the radius-3 circle, in order around it; fixed values
 RING16 = [(3, 0), (3, 1), (2, 2), (1, 3), (0, 3), (-1, 3), (-2, 2), (-3, 1), (-3, 0), (-3, -1), (-2, -2), (-1, -3), (0, -3), (1, -3), (2, -2), (3, -1)]
 
 
 def strength(px: DataFrame, n: int) -> DataFrame:
-    """y, x, m for pixels whose whole ring lies in the raster.
+    """y, x, m for pixels whose whole ring lies in the raster and has values.
 
-    The ring's differences come as one array per pixel; array functions keep the expression
-    small, where 32 arcs written out would outgrow a compiled method.
+    Worked out on tiles with a rim of 3: least and largest differences of all arcs by doubling their
+    length. An empty raster gives no rows; of repeated pixels the largest value counts.
     """
-    to = F.explode(F.array(*[F.struct((F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.lit(k).alias("k")) for k, (dy, dx) in enumerate([*RING16, (0, 0)])]))
-    seen = px.select("v", to.alias("t")).select("t.*", "v")
-    ring = seen.groupBy("y", "x").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("r")).filter(F.size("r") == 17)
-    d = ring.select("y", "x", F.transform(F.slice("r", 1, 16), lambda e: e["v"] - F.element_at("r", 17)["v"]).alias("d"))
-    d = d.select("y", "x", F.concat("d", F.slice("d", 1, n - 1)).alias("d"))
-    arc = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: F.greatest(F.array_min(F.slice("d", k, n)), -F.array_max(F.slice("d", k, n))))
-    return d.select("y", "x", F.array_max(arc).alias("m"))
+
+    def run(v, here):
+        p = np.pad(v, 3, constant_values=np.nan)
+        h, w = v.shape
+        d = np.stack([p[3 + dy : 3 + dy + h, 3 + dx : 3 + dx + w] for dy, dx in RING16]) - v
+        low, high, length = d, d, 1
+        while length < n:
+            by = min(length, n - length)
+            low, high, length = np.minimum(low, np.roll(low, -by, 0)), np.maximum(high, np.roll(high, -by, 0)), length + by
+        return [np.maximum(low.max(axis=0), (-high).max(axis=0))]  # NaN if any of the ring is missing
+
+    return on_tiles(px, 3, ["v"], "m double", run).filter("m is not null")
 
 
 def scores(px: DataFrame, n: int, b: int) -> DataFrame:

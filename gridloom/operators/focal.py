@@ -1,17 +1,28 @@
 """Neighbourhood operators on pixels.
 
-A pixel is scattered to the cells that need it and the cells are grouped: an equi-shuffle with
-map-side partial aggregates, whatever the raster's size or shape, without range joins.
-Box sums of any radius take two window passes instead.
+For the few cells of a 3 x 3 square, a pixel is scattered to the cells that need it and the cells are
+grouped: an equi-shuffle with map-side partial aggregates, whatever the raster's size or shape, without
+range joins. Larger neighbourhoods (boxes, rings) are worked out on tiles with a rim, so that a pixel
+is shuffled about once and no task holds more than a tile, however long a row or column is.
+
+Rasters may have holes; a pixel without a value (NULL) counts as zero in :func:`convolve` and
+:func:`gradient` and as missing elsewhere. A raster has a pixel once: where a source may repeat pixels, take
+:func:`raster.unique` first, as :func:`convolve` would add them up. An empty raster gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .raster import deal
+
+TILE = 256
+
 LAPLACE = {(dy, dx): (-3.0 if (dy, dx) == (0, 0) else 0.25 if dy and dx else 0.5) for dy in (-1, 0, 1) for dx in (-1, 0, 1)}
 RING8 = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
 SQUARE9 = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
@@ -66,28 +77,77 @@ def bilinear(points: DataFrame, px: DataFrame) -> DataFrame:
     return got.groupBy("_id", *cols).agg(F.sum(F.col("w") * F.coalesce(F.col("v"), F.lit(0.0))).alias("v")).drop("_id")
 
 
+def on_tiles(px: DataFrame, reach: int, names: list[str], kinds: str, run, tile: int = TILE) -> DataFrame:
+    """``run`` over the arrays of each tile with a rim of ``reach``: a pixel is shuffled once, but for the rims.
+
+    ``run`` gets the columns ``names`` as arrays (NaN where there is no pixel or no value) and whether there
+    is a pixel, and returns an array for each column of ``kinds``; NaN becomes NULL. One row comes
+    for each pixel; of repeated pixels the one with the largest values counts.
+    """
+    out = [k.split()[0] for k in kinds.split(", ")]
+    size = tile + 2 * reach
+
+    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = (pdf[c].to_numpy(np.int64) - k * tile + reach for c, k in zip("yx", key))
+        at, values = y * size + x, [pdf[n].to_numpy(float) for n in names]
+        order = np.lexsort(values[::-1]) if len(np.unique(at)) < len(at) else slice(None)
+        here = np.zeros((size, size), bool)
+        here.ravel()[at] = True
+        arrays = [np.full((size, size), np.nan) for _ in names]
+        for a, v in zip(arrays, values):
+            a.ravel()[at[order]] = v[order]
+        inner = np.s_[reach : reach + tile, reach : reach + tile]
+        y, x = np.nonzero(here[inner])
+        found = {n: a[inner][y, x] for n, a in zip(out, run(*arrays, here))}
+        return pd.DataFrame({"y": y + key[0] * tile, "x": x + key[1] * tile} | found)
+
+    return deal(px.select("y", "x", *names), tile, reach).groupBy("ty", "tx").applyInPandas(one, f"y {_kind(px, 'y')}, x {_kind(px, 'x')}, {kinds}")
+
+
+def _kind(px: DataFrame, name: str) -> str:
+    return px.schema[name].dataType.simpleString()
+
+
+def square_sum(a: np.ndarray, radius: int) -> np.ndarray:
+    """Sums over the square of the radius, cut at the rim."""
+    for axis in (0, 1):
+        p = np.pad(a, [(radius, radius) if k == axis else (0, 0) for k in (0, 1)])
+        n = a.shape[axis]
+        a = sum(np.take(p, range(k, k + n), axis) for k in range(2 * radius + 1))
+    return a
+
+
 def box_sum(px: DataFrame, radius: int, *names: str) -> DataFrame:
-    """Sums of the named columns, and the number of pixels, over the square of the radius, cut at the rim."""
-    rows = Window.partitionBy("y").orderBy("x").rangeBetween(-radius, radius)
-    cols = Window.partitionBy("x").orderBy("y").rangeBetween(-radius, radius)
-    half = px.select("y", "x", *[F.sum(n).over(rows).alias(n) for n in names], F.count(F.lit(1)).over(rows).alias("n"))
-    return half.select("y", "x", *[F.sum(n).over(cols).alias(n) for n in names], F.sum("n").over(cols).alias("n"))
+    """Sums of the named columns over the square of the radius, cut at the rim, and as n the pixels in
+    it for which all of them have a value. A square without any value has sums of 0."""
+
+    def run(*arrays):
+        known = ~np.isnan(np.stack(arrays[:-1])).any(axis=0)
+        return [*(square_sum(np.where(known, a, 0), radius) for a in arrays[:-1]), square_sum(known.astype(np.int64), radius)]
+
+    return on_tiles(px, radius, list(names), ", ".join([*[f"{n} double" for n in names], "n long"]), run)
 
 
 def box_mean(px: DataFrame, radius: int) -> DataFrame:
-    return box_sum(px, radius, "v").select("y", "x", (F.col("v") / F.col("n")).alias("v"))
+    """Mean over the square; NULL where no pixel of it has a value."""
+    return box_sum(px, radius, "v").select("y", "x", F.try_divide("v", "n").alias("v"))
 
 
 def guided(px: DataFrame, guide: DataFrame, radius: int, eps: float) -> DataFrame:
-    """Guided image filter: local linear model of the input in the guide, coefficients box-averaged."""
+    """Guided image filter: local linear model of the input in the guide, coefficients box-averaged.
+
+    Pixels without a guide pixel are left out; pixels without a value get NULL and count nowhere."""
     both = px.select("y", "x", F.col("v").alias("p")).join(guide.select("y", "x", F.col("v").alias("i")), ["y", "x"])
-    both = both.withColumn("ip", F.col("i") * F.col("p")).withColumn("ii", F.col("i") * F.col("i"))
-    s = box_sum(both, radius, "i", "p", "ip", "ii")
-    mean = lambda c: F.col(c) / F.col("n")
-    a = (mean("ip") - mean("i") * mean("p")) / (mean("ii") - mean("i") * mean("i") + eps)
-    ab = s.select("y", "x", a.alias("a"), (mean("p") - a * mean("i")).alias("b"))
-    m = box_sum(ab, radius, "a", "b").select("y", "x", (F.col("a") / F.col("n")).alias("a"), (F.col("b") / F.col("n")).alias("b"))
-    return m.join(both.select("y", "x", "i"), ["y", "x"]).select("y", "x", (F.col("a") * F.col("i") + F.col("b")).alias("v"))
+
+    def run(p, i, here):
+        known = ~np.isnan(p) & ~np.isnan(i)
+        n = np.where(known, square_sum(known.astype(float), radius), np.nan)
+        mean = lambda a: square_sum(np.where(known, a, 0), radius) / n
+        mp, mi = mean(p), mean(i)
+        a = (mean(i * p) - mi * mp) / (mean(i * i) - mi * mi + eps)
+        return [mean(a) * i + mean(mp - a * mi)]
+
+    return on_tiles(both, 2 * radius, ["p", "i"], "v double", run)
 
 
 def bilateral(px: DataFrame, guide: DataFrame, sigma_c: float, sigma_d: float, sigma_z: float, radius: int = 1) -> DataFrame:
@@ -110,16 +170,15 @@ def bilateral(px: DataFrame, guide: DataFrame, sigma_c: float, sigma_d: float, s
 
 
 def weighted_median(px: DataFrame, guide: DataFrame, sigma_c: float, offsets: list[tuple[int, int]] = SQUARE9) -> DataFrame:
-    """Smallest neighbour value at which half of the guide weights is reached; ties by value."""
+    """Smallest neighbour value at which half of the guide weights is reached; ties by value. Neighbours
+    without a value or guide don't count; NULL where none is left or the pixel has no guide."""
     packed = px.join(guide.select("y", "x", F.col("v").alias("c")), ["y", "x"]).select("y", "x", F.struct("v", "c").alias("v"))
-    items = [(dy, dx, F.lit(0)) for dy, dx in offsets]
-    centre = packed.select("y", "x", F.col("v.c").alias("cc"))
-    s = _scatter(packed, items).select("y", "x", F.col("v.v").alias("v"), F.col("v.c").alias("c"))
-    s = s.join(centre, ["y", "x"])
-    s = s.withColumn("w", F.round(F.exp(-((F.col("c") - F.col("cc")) * (F.col("c") - F.col("cc"))) / (2 * sigma_c**2)), 9))
-    g = s.groupBy("y", "x").agg(F.array_sort(F.collect_list(F.struct("v", "w"))).alias("a"), F.sum("w").alias("total"))
+    near = gather(packed, offsets).select("y", "x", F.col("v.c").alias("c"), F.filter(F.array(*[f"n{k}" for k in range(len(offsets))]), lambda e: e["v"].isNotNull() & e["c"].isNotNull()).alias("a"))
+    weight = lambda e: F.round(F.exp(-((e["c"] - F.col("c")) * (e["c"] - F.col("c"))) / (2 * sigma_c**2)), 9)
+    near = near.select("y", "x", F.array_sort(F.transform("a", lambda e: F.struct(e["v"].alias("v"), weight(e).alias("w")))).alias("a"))
+    near = near.withColumn("total", F.aggregate("a", F.lit(0.0), lambda t, e: t + e["w"]))
     run = F.aggregate("a", F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("m")), lambda acc, e: F.struct((acc["s"] + e["w"]).alias("s"), F.when(acc["m"].isNull() & (acc["s"] + e["w"] >= F.col("total") / 2 - 1e-9), e["v"]).otherwise(acc["m"]).alias("m")))
-    return g.select("y", "x", run["m"].alias("v"))
+    return near.select("y", "x", run["m"].alias("v"))
 
 
 def suppress(corners: DataFrame) -> DataFrame:
@@ -141,11 +200,17 @@ def census(px: DataFrame) -> DataFrame:
 
 
 def harris(px: DataFrame, radius: int = 1, k: float = 0.04) -> DataFrame:
-    """Harris response: det - k trace^2 of the box-summed gradient products."""
-    g = gradient(px).select("y", "x", (F.col("gx") * F.col("gx")).alias("a"), (F.col("gy") * F.col("gy")).alias("b"), (F.col("gx") * F.col("gy")).alias("c"))
-    s = box_sum(g, radius, "a", "b", "c")
-    tr = F.col("a") + F.col("b")
-    return s.select("y", "x", (F.col("a") * F.col("b") - F.col("c") * F.col("c") - k * tr * tr).alias("v"))
+    """Harris response: det - k trace^2 of the gradient products summed over the square.
+
+    Outside the raster, and where there is no value, counts as zero for the gradients."""
+
+    def run(v, here):
+        p = np.pad(np.nan_to_num(v), 1)
+        gx, gy = (np.where(here, g, 0) for g in ((p[1:-1, 2:] - p[1:-1, :-2]) / 2, (p[2:, 1:-1] - p[:-2, 1:-1]) / 2))
+        a, b, c = (square_sum(x, radius) for x in (gx * gx, gy * gy, gx * gy))
+        return [a * b - c * c - k * (a + b) * (a + b)]
+
+    return on_tiles(px, radius + 1, ["v"], "v double", run)
 
 
 def gaussian_weight(distance: Column, sigma: float) -> Column:

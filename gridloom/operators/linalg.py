@@ -2,6 +2,10 @@
 
 Products and reductions are joins and grouped sums. A least-squares fit needs one pass that
 sums k(k+1)/2 + k products per group; only those k x k systems meet numpy.
+
+NULL entries count in no sum; a NULL coordinate matches nothing. Entries that repeat a cell add up in sums and
+products (:func:`hadamard`, :func:`combine` and :func:`arg_extremes` need each cell once: :func:`from_triplets`).
+Empty matrices give no rows, or one row of zeros or NULLs where the result is one row.
 """
 
 from __future__ import annotations
@@ -189,27 +193,231 @@ def thin_r(rows: DataFrame, x: list[str]) -> DataFrame:
     return out
 
 
+def _system(m: DataFrame, b: DataFrame) -> DataFrame:
+    """i, right side (0 where b has no row) and diagonal of every row of m or b; ValueError names a row without a diagonal."""
+    d = m.filter("i = j").groupBy("i").agg(F.sum("v").alias("d"))
+    rows = m.select("i").union(b.select("i")).distinct()
+    state = rows.join(b.groupBy("i").agg(F.sum("v").alias("b")), "i", "left").join(d, "i", "left")
+    state = save(state.select("i", F.coalesce("b", F.lit(0.0)).alias("b"), "d"), "system")
+    if bad := state.filter("d is null or d = 0").select("i").orderBy("i").first():
+        raise ValueError(f"row {bad[0]} of the matrix has no diagonal entry")
+    return state
+
+
+def _sums(state: DataFrame, *pairs: str) -> list[float]:
+    """Sum of the product of each pair of columns, as "p q"."""
+    return [x or 0.0 for x in state.agg(*[F.sum(F.col(p.split()[0]) * F.col(p.split()[1])) for p in pairs]).first()]
+
+
+def _applied(m: DataFrame, state: DataFrame, column: str, name: str, key: str = "i") -> DataFrame:
+    """``state`` with column ``name``: m times ``column``; 0 where m has no entries."""
+    q = apply_vector(m, state.select(F.col(key).alias("i"), F.col(column).alias("v"))).select(F.col("i").alias(key), F.col("v").alias(name))
+    return save(state.join(q, key, "left").withColumn(name, F.coalesce(name, F.lit(0.0))), "krylov")
+
+
 def conjugate_gradient(m: DataFrame, b: DataFrame, steps: int = 25, tolerance: float = 1e-10) -> DataFrame:
     """Solution (i, v) of a symmetric positive definite m x = b, with the diagonal as preconditioner.
 
-    The vectors stay distributed; two scalars a step come to the driver. Each step is
-    written to the shared folder, which also cuts the lineage.
+    The vectors stay distributed; a few scalars a step come to the driver. Each step is written to the
+    shared folder, which also cuts the lineage. Rows that b lacks count as 0; a row without a diagonal entry
+    raises ValueError. ``residual`` is |b - m x| / |b| as the recurrence has it, the same in all rows: where
+    it is above the tolerance, the steps didn't suffice. An empty system gives no rows.
     """
-    d = m.filter("i = j").select("i", F.col("v").alias("d"))
-    state = b.select("i", F.col("v").alias("r")).join(d, "i").select("i", F.lit(0.0).alias("x"), "r", "d", (F.col("r") / F.col("d")).alias("p"))
-    state = save(state, "cg")
-    first = rz = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0] or 0.0
+    state = _system(m, b).select("i", F.lit(0.0).alias("x"), F.col("b").alias("r"), "d", (F.col("b") / F.col("d")).alias("z"), (F.col("b") / F.col("d")).alias("p"))
+    state = save(state, "krylov")
+    rz, size = _sums(state, "r z", "r r")
+    first, rr = rz, size
     for _ in range(steps):
         if not rz or rz <= tolerance * tolerance * first:
             break
-        q = apply_vector(m, state.select("i", F.col("p").alias("v"))).withColumnRenamed("v", "q")
-        with_q = save(state.join(q, "i", "left").withColumn("q", F.coalesce("q", F.lit(0.0))), "cg")
-        alpha = rz / with_q.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
-        moved = with_q.select("i", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("q")).alias("r"), "d", "p")
-        new = moved.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0] or 0.0
+        with_q = _applied(m, state, "p", "q")
+        alpha = rz / _sums(with_q, "p q")[0]
+        moved = with_q.select("i", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("q")).alias("r"), "d", "p").withColumn("z", F.col("r") / F.col("d"))
+        new, rr = _sums(moved, "r z", "r r")
         beta, rz = new / rz, new
-        state = save(moved.withColumn("p", F.col("r") / F.col("d") + beta * F.col("p")), "cg")
-    return state.select("i", F.col("x").alias("v"))
+        state = save(moved.withColumn("p", F.col("z") + beta * F.col("p")), "krylov")
+    return state.select("i", F.col("x").alias("v"), F.lit(float(np.sqrt(rr / size)) if size else 0.0).alias("residual"))
+
+
+def bicgstab(m: DataFrame, b: DataFrame, steps: int = 25, tolerance: float = 1e-10) -> DataFrame:
+    """As :func:`conjugate_gradient`, for any square matrix with a diagonal."""
+    state = _system(m, b).select("i", F.lit(0.0).alias("x"), F.col("b").alias("r"), F.col("b").alias("shadow"), F.lit(0.0).alias("p"), F.lit(0.0).alias("v"), "d")
+    rho = alpha = omega = 1.0
+    new, size = _sums(state, "shadow r", "r r")
+    rr = size
+    for _ in range(steps):
+        if not new or rr <= tolerance * tolerance * size:
+            break
+        beta, rho = (new / rho) * (alpha / omega), new
+        state = state.withColumn("p", F.col("r") + beta * (F.col("p") - omega * F.col("v"))).withColumn("y", F.col("p") / F.col("d")).drop("v")
+        state = _applied(m, state, "y", "v")
+        alpha = rho / _sums(state, "shadow v")[0]
+        state = _applied(m, state.withColumn("s", F.col("r") - alpha * F.col("v")).withColumn("z", F.col("s") / F.col("d")), "z", "t")
+        tt, ts = _sums(state, "t t", "t s")
+        omega = ts / tt if tt else 0.0
+        state = state.select("i", (F.col("x") + alpha * F.col("y") + omega * F.col("z")).alias("x"), (F.col("s") - omega * F.col("t")).alias("r"), "shadow", "p", "v", "d")
+        state = save(state, "krylov")
+        new, rr = _sums(state, "shadow r", "r r")
+        if not omega:
+            break
+    return state.select("i", F.col("x").alias("v"), F.lit(float(np.sqrt(rr / size)) if size else 0.0).alias("residual"))
+
+
+def least_squares_cg(m: DataFrame, b: DataFrame, steps: int = 25, tolerance: float = 1e-10) -> DataFrame:
+    """Least-squares solution (j, v) of m x = b for any shape, by conjugate gradients on the normal equations,
+    which are never formed. ``residual`` is |m' (b - m x)| / |m' b|."""
+    back = transpose(m)
+    rows = save(m.select("i").union(b.select("i")).distinct().join(b.groupBy("i").agg(F.sum("v").alias("r")), "i", "left").select("i", F.coalesce("r", F.lit(0.0)).alias("r")), "krylov")
+    cols = save(m.select("j").distinct(), "krylov")
+
+    def gradient(r: DataFrame) -> DataFrame:
+        return apply_vector(back, r.select("i", F.col("r").alias("v"))).select(F.col("i").alias("j"), F.col("v").alias("s"))
+
+    state = cols.join(gradient(rows), "j", "left").select("j", F.lit(0.0).alias("x"), F.coalesce("s", F.lit(0.0)).alias("s")).withColumn("p", F.col("s"))
+    state = save(state, "krylov")
+    first = gamma = _sums(state, "s s")[0]
+    for _ in range(steps):
+        if not gamma or gamma <= tolerance * tolerance * first:
+            break
+        q = apply_vector(m, state.select(F.col("j").alias("i"), F.col("p").alias("v"))).withColumnRenamed("v", "q")
+        rows = save(rows.join(q, "i", "left").withColumn("q", F.coalesce("q", F.lit(0.0))), "krylov")
+        alpha = gamma / _sums(rows, "q q")[0]
+        rows = rows.select("i", (F.col("r") - alpha * F.col("q")).alias("r"))
+        moved = state.select("j", (F.col("x") + alpha * F.col("p")).alias("x"), "p").join(gradient(rows), "j", "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+        moved = save(moved, "krylov")
+        new = _sums(moved, "s s")[0]
+        state = moved.withColumn("p", F.col("s") + (new / gamma) * F.col("p"))
+        gamma = new
+    return state.select("j", F.col("x").alias("v"), F.lit(float(np.sqrt(gamma / first)) if first else 0.0).alias("residual"))
+
+
+def triangular_solve(m: DataFrame, b: DataFrame, lower: bool = True, steps: int = 10_000) -> DataFrame:
+    """Solution (i, v) of m x = b by the lower (or upper) triangle of m; entries beyond it are ignored.
+
+    Every pass solves all rows whose predecessors are known, so as many passes run as the longest chain of
+    rows has links (at most ``steps``; ValueError beyond). A row without a diagonal entry raises ValueError.
+    """
+    off = m.filter("j < i" if lower else "j > i").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    state = _system(m, b)
+    left = save(off, "triangle")
+    known = save(state.join(left.select("i").distinct(), "i", "left_anti").select("i", (F.col("b") / F.col("d")).alias("v")), "solved")
+    for _ in range(steps):
+        open_rows = state.join(known.select("i"), "i", "left_anti")
+        if open_rows.isEmpty():
+            return known
+        terms = left.join(open_rows.select("i"), "i").join(known.select(F.col("i").alias("j"), F.col("v").alias("x")), "j", "left")
+        ready = terms.groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("q"), F.bool_and(F.col("x").isNotNull()).alias("ok")).filter("ok")
+        known = save(known.union(open_rows.join(ready, "i").select("i", ((F.col("b") - F.col("q")) / F.col("d")).alias("v"))), "solved")
+    raise ValueError("the chain of rows is longer than the steps")
+
+
+def inverse(m: DataFrame, *by: str) -> DataFrame:
+    """Inverse (by, i, j, v) of each group's small square matrix; groups that are singular, not
+    square or not finite have one row of NULLs. Missing entries are 0, repeated ones add up."""
+
+    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, cols = sorted(set(pdf["i"])), sorted(set(pdf["j"]))
+        a = np.zeros((len(rows), len(cols)))
+        np.add.at(a, (np.searchsorted(rows, pdf["i"]), np.searchsorted(cols, pdf["j"])), pdf["v"].to_numpy(float))
+        head = {c: k for c, k in zip(by, key)}
+        if len(rows) != len(cols) or not np.isfinite(a).all() or np.linalg.matrix_rank(a) < len(rows):
+            return pd.DataFrame([head | {"i": None, "j": None, "v": None}]).astype({"i": "Int64", "j": "Int64", "v": "Float64"})
+        inv = np.linalg.inv(a)
+        return pd.DataFrame(head | {"i": np.repeat(cols, len(rows)), "j": np.tile(rows, len(cols)), "v": inv.ravel()})
+
+    kinds = ", ".join([*[f"{c} {dict(m.dtypes)[c]}" for c in by], "i long, j long, v double"])
+    return m.select(*by, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v")).groupBy(*by).applyInPandas(one, kinds)
+
+
+# generators, slices and permutations
+
+
+def constant(spark, rows: int, cols: int, value: float = 0.0) -> DataFrame:
+    """A rows x cols matrix of one value, made where it is read."""
+    return spark.range(rows * cols).select(F.floor(F.col("id") / cols).alias("i"), (F.col("id") % cols).alias("j"), F.lit(float(value)).alias("v"))
+
+
+def identity(spark, n: int) -> DataFrame:
+    return spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v"))
+
+
+def linspaced(spark, n: int, low: float, high: float) -> DataFrame:
+    """n values from low to high, both included (high alone for one)."""
+    step = F.lit(1.0) if n == 1 else F.col("id") / (n - 1)
+    return spark.range(n).select(F.col("id").alias("i"), (low + (high - low) * step).alias("v"))
+
+
+def uniform(key: Column, seed: int = 0) -> Column:
+    """A repeatable pseudo-random number in [0, 1) for each key, 53 bits; NULL keys have one too."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11).cast("double") * 2.0**-53
+
+
+def random_index(key: Column, n: int, seed: int = 0) -> Column:
+    return F.floor(uniform(key, seed) * n)
+
+
+def block(m: DataFrame, i0: int, j0: int, rows: int, cols: int) -> DataFrame:
+    """The block at (i0, j0), moved to the origin."""
+    inside = F.col("i").between(i0, i0 + rows - 1) & F.col("j").between(j0, j0 + cols - 1)
+    return m.filter(inside).select((F.col("i") - i0).alias("i"), (F.col("j") - j0).alias("j"), "v")
+
+
+def reverse(m: DataFrame, rows: int, cols: int) -> DataFrame:
+    return m.select((rows - 1 - F.col("i")).alias("i"), (cols - 1 - F.col("j")).alias("j"), "v")
+
+
+def replicate(m: DataFrame, rows: int, cols: int, down: int, right: int) -> DataFrame:
+    """The rows x cols matrix repeated ``down`` times below and ``right`` times beside itself."""
+    steps = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    at = m.withColumn("_a", steps(down)).withColumn("_b", steps(right))
+    return at.select((F.col("i") + F.col("_a") * rows).alias("i"), (F.col("j") + F.col("_b") * cols).alias("j"), "v")
+
+
+def diagonal(m: DataFrame) -> DataFrame:
+    return m.filter("i = j").select("i", "v")
+
+
+def permute_rows(m: DataFrame, permutation: DataFrame) -> DataFrame:
+    """Row ``source`` of m becomes row ``target``; rows that the permutation lacks are left out."""
+    return m.join(permutation.select(F.col("source").alias("i"), "target"), "i").select(F.col("target").alias("i"), "j", "v")
+
+
+def absolute_orientation(pairs: DataFrame, *by: str) -> DataFrame:
+    """Similarity transform that takes points (x, y, z) to (u, v, w) with the least squared error, per group.
+
+    Sums of 9 products, 6 coordinates and 3 squares are grouped; the unit quaternion q0..q3 is the dominant eigenvector of a
+    4 x 4 matrix of them. Columns: q0..q3 (q0 >= 0), scale, t0..t2: target = scale * R(q) * source + t.
+    Groups with fewer than two different points have NULLs.
+    """
+    a, b = ("x", "y", "z"), ("u", "v", "w")
+    ok = pairs.dropna(subset=[*a, *b])
+    sums = ok.groupBy(*by).agg(
+        F.count("*").alias("n"), *[F.sum(c).alias(f"s_{c}") for c in (*a, *b)], *[F.sum(F.col(p) * F.col(q)).alias(f"m_{p}{q}") for p in a for q in b], sum((F.sum(F.col(p) * F.col(p)) for p in a[1:]), F.sum(F.col("x") * F.col("x"))).alias("sq")
+    )
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            out = []
+            for r in pdf.to_dict("records"):
+                n = r["n"]
+                ca, cb = np.array([r[f"s_{c}"] for c in a]) / n, np.array([r[f"s_{c}"] for c in b]) / n
+                m = np.array([[r[f"m_{p}{q}"] for q in b] for p in a]) - n * np.outer(ca, cb)
+                spread = r["sq"] - n * ca @ ca
+                skew = np.array([m[1, 2] - m[2, 1], m[2, 0] - m[0, 2], m[0, 1] - m[1, 0]])
+                k = np.block([[np.array([[np.trace(m)]]), skew[None]], [skew[:, None], m + m.T - np.trace(m) * np.eye(3)]])
+                values, vectors = np.linalg.eigh(k)
+                if spread <= 1e-12 * max(1.0, r["sq"]):
+                    out.append([*[r[c] for c in by], *[None] * 8])
+                    continue
+                q = vectors[:, -1] * (-1 if vectors[0, -1] < 0 else 1)
+                scale = values[-1] / spread
+                w, v = q[0], q[1:]
+                turned = ca + 2 * np.cross(v, np.cross(v, ca) + w * ca)
+                out.append([*[r[c] for c in by], *q.tolist(), float(scale), *(cb - scale * turned).tolist()])
+            yield pd.DataFrame(out, columns=[*by, "q0", "q1", "q2", "q3", "scale", "t0", "t1", "t2"])
+
+    kinds = ", ".join([*[f"{c} {dict(sums.dtypes)[c]}" for c in by], *[f"{c} double" for c in ("q0", "q1", "q2", "q3", "scale", "t0", "t1", "t2")]])
+    return sums.mapInPandas(run, kinds)
 
 
 def box_merge(boxes: DataFrame, *by: str) -> DataFrame:

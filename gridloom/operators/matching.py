@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import save
-from .focal import laplacian
+from .focal import SQUARE9, gather, gradient, laplacian
 from .linalg import inverse2
 
 
@@ -113,15 +114,15 @@ def least_squares_match(one: DataFrame, two: DataFrame, feats: DataFrame, half:
     cells = kept.select("fy", "fx", F.explode(steps).alias("oy")).select("fy", "fx", "oy", F.explode(steps).alias("ox"))
     cells = cells.withColumn("y", F.col("fy") + F.col("oy")).withColumn("x", F.col("fx") + F.col("ox"))
     both = one.withColumnRenamed("v", "i1").join(two.withColumnRenamed("v", "i2"), ["y", "x"])
-    got = cells.join(both, ["y", "x"]).groupBy("fy", "fx").agg(F.collect_list(F.struct("oy", "ox", "i1", "i2")).alias("c"))
+    got = cells.join(both, ["y", "x"]).groupBy("fy", "fx").agg(F.collect_list(F.struct("oy", "ox", "i1", "i2")).alias("c"))  # one window each
+    got = got.select("fy", "fx", *[F.col(f"c.{n}").alias(n) for n in ("oy", "ox", "i1", "i2")])
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             out = []
-            for fy, fx, c in zip(pdf["fy"], pdf["fx"], pdf["c"]):
+            for fy, fx, oy, ox, i1, i2 in zip(*(pdf[c] for c in ("fy", "fx", "oy", "ox", "i1", "i2"))):
                 a, b = np.zeros((2 * r + 1, 2 * r + 1)), np.zeros((2 * r + 1, 2 * r + 1))
-                for e in c:
-                    a[e["oy"] + r, e["ox"] + r], b[e["oy"] + r, e["ox"] + r] = e["i1"], e["i2"]
+                a[oy + r, ox + r], b[oy + r, ox + r] = np.nan_to_num(i1), np.nan_to_num(i2)
                 out.append((fy, fx, *shift_of(a[margin : margin + 2 * half + 1, margin : margin + 2 * half + 1], b, half)))
             yield pd.DataFrame(out, columns=["fy", "fx", "dx", "dy"])
 
@@ -144,6 +145,97 @@ def census_distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def modified_census(px: DataFrame) -> DataFrame:
+    """9-bit code: a bit for each pixel of the 3 x 3 square below the square's mean; only whole squares."""
+    g = gather(px, SQUARE9)
+    cells = [F.col(f"n{k}") for k in range(9)]
+    mean = sum(cells[1:], cells[0]) / 9
+    code = sum(((c < mean).cast("int") * (1 << k) for k, c in enumerate(cells[1:], 1)), (cells[0] < mean).cast("int"))
+    return g.select("y", "x", code.alias("code")).dropna()
+
+
+def orientation_histogram(px: DataFrame, window: int, bins: int = 9) -> DataFrame:
+    """Gradient magnitudes by orientation (bin 0 begins at 0 degrees of 180) in each window x window cell
+    (wy, wx), over the cell's norm; cells without any gradient have no rows."""
+    g = gradient(px)
+    size = F.hypot("gx", "gy")
+    turn = F.pmod(F.atan2("gy", "gx"), F.lit(math.pi))
+    cell = [F.floor(F.col(c) / window).alias(f"w{c}") for c in ("y", "x")]
+    sums = g.filter(size > 0).groupBy(*cell, F.least(F.floor(turn / (math.pi / bins)), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.sum(size).alias("weight"))
+    norms = sums.groupBy("wy", "wx").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    return sums.join(norms, ["wy", "wx"]).select("wy", "wx", "bin", (F.col("weight") / F.col("norm")).alias("weight"))
+
+
+def orientation_score(one: DataFrame, two: DataFrame, window: int, bins: int = 9) -> DataFrame:
+    """Cosine of the orientation histograms of two rasters per cell; 0 where they share no bin."""
+    a, b = (orientation_histogram(px, window, bins) for px in (one, two))
+    both = a.withColumnRenamed("weight", "p").join(b.withColumnRenamed("weight", "q"), ["wy", "wx", "bin"], "full_outer")
+    return both.groupBy("wy", "wx").agg(F.coalesce(F.sum(F.col("p") * F.col("q")), F.lit(0.0)).alias("score"))
+
+
+WINDOW_SCORES = ("zncc", "census", "census_zncc")
+
+
+def window_score(pairs: DataFrame, method: str, *by: str) -> DataFrame:
+    """Score of two windows per group; ``pairs`` has a row a pixel with v1, v2 (values) and c1, c2 (census codes).
+
+    zncc: correlation of the values; census: share of equal bits of 8-bit codes; census_zncc: mean of both, with the correlation
+    brought to 0..1. Windows without variance have no correlation (NULL). Other methods raise ValueError.
+    """
+    if method not in WINDOW_SCORES:
+        raise ValueError(f"unsupported score {method!r}; one of {', '.join(WINDOW_SCORES)}")
+    corr, bits = F.corr("v1", "v2"), 1 - F.avg(census_distance(F.col("c1"), F.col("c2"))) / 8
+    return pairs.groupBy(*by).agg({"zncc": corr, "census": bits, "census_zncc": ((corr + 1) / 2 + bits) / 2}[method].alias("score"))
+
+
+def pair_match(candidates: DataFrame, left: DataFrame, right: DataFrame, left_px: DataFrame, right_px: DataFrame, half: int, ratio: float, least: float) -> DataFrame:
+    """Matches (id, candidate, score) of candidate pairs (id, candidate) of features (id, y, x): the best by correlation of
+    the windows around them, if it is at least ``least`` and the runner-up has at most ``ratio`` of it."""
+    steps = F.sequence(F.lit(-half), F.lit(half))
+
+    def window(features: DataFrame, px: DataFrame, key: str, v: str) -> DataFrame:
+        cells = features.select(F.col("id").alias(key), "y", "x", F.explode(steps).alias("oy")).select("*", F.explode(steps).alias("ox"))
+        return cells.select(key, "oy", "ox", (F.col("y") + F.col("oy")).alias("y"), (F.col("x") + F.col("ox")).alias("x")).join(px, ["y", "x"]).select(key, "oy", "ox", F.col("v").alias(v))
+
+    pairs = candidates.select("id", "candidate").join(window(left, left_px, "id", "v1"), "id").join(window(right, right_px, "candidate", "v2"), ["candidate", "oy", "ox"])
+    scored = zncc(pairs, "id", "candidate").select("id", "candidate", F.col("zncc").alias("score")).filter(F.col("score") > 0)
+    return best_with_ratio(scored, ratio, "id").filter(F.col("score") >= least)
+
+
+def transposed_descriptor(d: Column) -> Column:
+    """A descriptor of 4 x 4 cells of 8 orientation bins, flipped: rows of cells in reverse order, bin 0 in
+    place and bins 1 to 7 in reverse. NULL unless it has 128 numbers."""
+    at = [1 + 32 * (3 - k // 32) + 8 * (k // 8 % 4) + (8 - k % 8) % 8 for k in range(128)]
+    return F.when(F.size(d) == 128, F.transform(F.array(*[F.lit(k) for k in at]), lambda k: F.get(d, k - 1)))
+
+
+def scaled_descriptor(d: Column, factor: float = 512.0) -> Column:
+    return F.transform(d, lambda v: v * factor)
+
+
+def image_angle(theta: Column) -> Column:
+    """Orientation against the other axis: a quarter turn less theta."""
+    return math.pi / 2 - theta
+
+
+def median_of(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """Median (mean of the middle two for even numbers) and number of values per group; NULLs don't count."""
+    return rows.groupBy(*by).agg(F.median(value).alias("median"), F.count(value).alias("n"))
+
+
+def weighted_centre(rows: DataFrame, values: dict[str, tuple[Column, Column]], sigma: dict[str, float], *by: str) -> DataFrame:
+    """Per group and name: the mean of a value, weighted by a Gaussian of another column's distance from 0 there.
+
+    ``values``: name -> (value, distance). One, or three for points in space."""
+    weight = lambda n: F.exp(-(values[n][1] * values[n][1]) / (2 * sigma[n] ** 2))
+    return rows.groupBy(*by).agg(*[F.try_divide(F.sum(weight(n) * values[n][0]), F.sum(F.when(values[n][0].isNotNull(), weight(n)))).alias(n) for n in values])
+
+
+def repeated(rows: DataFrame, *by: str) -> DataFrame:
+    """Keys that come more than once, and how often; NULL keys are a key."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1")
+
+
 def best_with_ratio(candidates: DataFrame, ratio: float, *by: str) -> DataFrame:
     """The candidate of the highest score per group, if the runner-up has at most ``ratio`` of it."""
     w = Window.partitionBy(*by).orderBy(F.desc("score"), "candidate")
@@ -171,11 +263,12 @@ def in_quad(x: Column, y: Column, corners: list[tuple[float, float]]) -> Column:
 def tracks(edges: DataFrame) -> DataFrame:
     """node, track: the smallest node that links (a, b) connect it with.
 
-    Alternating star steps; each halves paths, is written to the shared folder and
-    costs two shuffles of the links that are left.
+    Alternating star steps, each of which halves paths. A step groups twice, joins twice and takes
+    distinct rows twice, over the links that are left, and writes four tables to the shared folder. Links with
+    a NULL end and links of a node to itself join nothing; a node of such a link is a track of its own.
     """
-    state = save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "tracks")
-    nodes = save(edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "node"), "track-nodes")
+    state = save(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "tracks")
+    nodes = save(edges.select("a").union(edges.select("b")).dropna().distinct().withColumnRenamed("a", "node"), "track-nodes")
     before = None
     while (mark := state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()) != before and mark[0]:
         before = mark

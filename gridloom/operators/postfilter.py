@@ -14,16 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .raster import deal
+
+STRIP_CELLS = 1 << 22
 METHODS = ("bilateral", "guided_image", "guided_median", "local_patch", "tree_filter")
 ALIASES = {"patch_filtering": "local_patch"}
 
 
-def deal(px: DataFrame, tile: int, halo: int) -> DataFrame:
-    """Every pixel once for each tile (ty, tx) whose square with halo has it."""
-    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile)).cast("array<long>"))
-    return px.withColumn("ty", near("y")).withColumn("tx", near("x"))
-
-
 def shifts(a: np.ndarray, r: int):
     """Each offset in the square of radius r with the array moved by it (NaN outside)."""
     p = np.pad(a, r, constant_values=np.nan)
@@ -63,13 +60,21 @@ def guided_image(z: np.ndarray, c: np.ndarray, r: int, eps: float) -> np.ndarray
 
 
 def guided_median(z: np.ndarray, c: np.ndarray, r: int, sc: float) -> np.ndarray:
-    v = np.stack([s for _, _, s in shifts(z, r)])
-    w = np.stack([np.nan_to_num(np.exp(-((s - c) ** 2) / (2 * sc**2))) for _, _, s in shifts(c, r)]) * ~np.isnan(v)
-    order = np.argsort(v, axis=0, kind="stable")
-    run = np.cumsum(np.take_along_axis(w, order, 0), axis=0)
-    at = (run >= run[-1] / 2 - 1e-12).argmax(axis=0)
-    out = np.take_along_axis(np.take_along_axis(v, order, 0), at[None], 0)[0]
-    return np.where(run[-1] > 0, out, z)
+    """Weighted medians, a strip of rows at a time, so that no more than ``STRIP_CELLS`` neighbours are held."""
+    h, width = z.shape
+    pz, pc, side = np.pad(z, r, constant_values=np.nan), np.pad(c, r, constant_values=np.nan), 2 * r + 1
+    out, rows = np.empty_like(z), max(1, STRIP_CELLS // (side * side * width))
+    for y in range(0, h, rows):
+        n = min(rows, h - y)
+        at = [np.s_[y + dy : y + dy + n, dx : dx + width] for dy in range(side) for dx in range(side)]
+        v = np.stack([pz[k] for k in at])
+        w = np.stack([np.nan_to_num(np.exp(-((pc[k] - c[y : y + n]) ** 2) / (2 * sc**2))) for k in at]) * ~np.isnan(v)
+        order = np.argsort(v, axis=0, kind="stable")
+        run = np.cumsum(np.take_along_axis(w, order, 0), axis=0)
+        half = (run >= run[-1] / 2 - 1e-12).argmax(axis=0)
+        found = np.take_along_axis(np.take_along_axis(v, order, 0), half[None], 0)[0]
+        out[y : y + n] = np.where(run[-1] > 0, found, z[y : y + n])
+    return out
 
 
 def local_patch(z: np.ndarray, c: np.ndarray, r: int, wc: float, wd: float, wz: float, sc: float, sd: float, sz: float) -> np.ndarray:

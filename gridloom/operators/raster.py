@@ -1,6 +1,7 @@
 """Rasters in pixel form: one row per pixel (y, x, v), 0-based, plus any key columns.
 
-Every function takes and returns DataFrames. No-data is NULL inside the library.
+Every function takes and returns DataFrames. No-data is NULL inside the library: it counts in no
+statistic or mean, maps to NULL, and an empty raster gives no rows (a row of NULLs where the result is one row).
 """
 
 from __future__ import annotations
@@ -64,6 +65,17 @@ def pyramid(px: DataFrame, levels: int, step: int = 2) -> DataFrame:
     return px.select("y", "x", "v", at.alias("level")).groupBy("level", F.floor(F.col("y") / size).cast("long").alias("y"), F.floor(F.col("x") / size).cast("long").alias("x")).agg(F.avg("v").alias("v"))
 
 
+def unique(px: DataFrame) -> DataFrame:
+    """Each pixel once: the largest value of those that repeat it."""
+    return px.groupBy("y", "x").agg(F.max("v").alias("v"))
+
+
+def deal(px: DataFrame, tile: int, halo: int) -> DataFrame:
+    """Every pixel once for each tile (ty, tx) whose square with halo has it."""
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile)).cast("array<long>"))
+    return px.withColumn("ty", near("y")).withColumn("tx", near("x"))
+
+
 def crop(px: DataFrame, y0: int, x0: int, height: int, width: int) -> DataFrame:
     """The window at (y0, x0), moved to the origin; the range predicate reaches the scan."""
     inside = F.col("y").between(y0, y0 + height - 1) & F.col("x").between(x0, x0 + width - 1)

@@ -7,31 +7,16 @@ where those scatter and group, window frames where those aggregate, and so on.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geodesy, xmltext
 from ..operators import corners, focal, linalg, matching, postfilter, raster, sensor, wallis
+from ..sources import files
 from ..sources.storage import save
 from . import views as V
+from .registry import QUERIES, Query, query, rounded
 from .twins import TWINS
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-
-
-def query(f: Query) -> Query:
-    _QUERIES[f.__name__] = f
-    return f
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded; minus zero becomes zero."""
-    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
 # pixels, statistics, element-wise maps
 
 
@@ -107,7 +92,9 @@ def point_values(s, d):
 
 @query
 def tile_mosaic(s, d):
-    return rounded(raster.mosaic(raster.cut_tiles(V.dsm(s, d), 4, 20), 4, 20))
+    """Overlapping tiles that differ by a constant each, feathered into one raster."""
+    tiles = raster.cut_tiles(V.dsm(s, d), 4, 20)
+    return rounded(raster.mosaic(tiles.withColumn("v", F.col("v") + F.pmod(F.col("ty") + 2 * F.col("tx"), F.lit(3)) * 10), 4, 20))
 
 
 # neighbourhoods
@@ -165,7 +152,7 @@ def harris_response(s, d):
 @query
 def tile_top1_features(s, d):
     px = V.dsm(s, d)
-    return rounded(matching.features(px, V.height(px), V.width(px), 16))
+    return rounded(matching.features(px, *V.size(px), 16))
 
 
 def _fast(n: int) -> None:
@@ -201,13 +188,13 @@ def fast9_detect_nms(s, d):
 @query
 def wallis_grid(s, d):
     px = V.u16(s, d)
-    return rounded(wallis.grid(px, V.height(px), V.width(px)))
+    return rounded(wallis.grid(px, *V.size(px)))
 
 
 @query
 def wallis_apply(s, d):
     px = V.u16(s, d)
-    return wallis.enhance(px, V.height(px), V.width(px))
+    return wallis.enhance(px, *V.size(px))
 
 
 # matching
@@ -216,14 +203,15 @@ def wallis_apply(s, d):
 @query
 def lsm_one_step(s, d):
     one, two = V.dsm(s, d), V.dsm2(s, d)
-    feats = matching.strongest_per_tile(one, V.height(one), V.width(one), 16)
-    return rounded(matching.one_step(one, focal.gradient(two), two, feats, 3, V.height(one), V.width(one)))
+    size = V.size(one)
+    feats = matching.strongest_per_tile(one, *size, 16)
+    return rounded(matching.one_step(one, focal.gradient(two), two, feats, 3, *size))
 
 
 @query
 def lsm_iterative(s, d):
     one = V.dsm(s, d)
-    return rounded(matching.system_bias(one, V.dsm2(s, d), V.height(one), V.width(one), 16, 7))
+    return rounded(matching.system_bias(one, V.dsm2(s, d), *V.size(one), 16, 7))
 
 
 @query
@@ -242,14 +230,12 @@ def census_match(s, d):
 
 @query
 def median_center(s, d):
-    return rounded(V.table(s, d, "events").groupBy("event_type").agg(F.median("value").alias("median"), F.count("value").alias("n")))
+    return rounded(matching.median_of(V.table(s, d, "events"), "value", "event_type"))
 
 
 @query
 def weighted_center(s, d):
-    w = F.exp(-((F.col("l_discount") - 0.05) * (F.col("l_discount") - 0.05)) / (2 * 0.02 * 0.02))
-    li = V.table(s, d, "lineitem")
-    return rounded(li.groupBy("l_returnflag").agg((F.sum(w * F.col("l_quantity")) / F.sum(w)).alias("center")))
+    return rounded(matching.weighted_centre(V.table(s, d, "lineitem"), {"center": (F.col("l_quantity"), F.col("l_discount") - 0.05)}, {"center": 0.02}, "l_returnflag"))
 
 
 @query
@@ -266,7 +252,7 @@ def intersection_outliers(s, d):
 
 @query
 def repeated_features(s, d):
-    return V.table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j")).agg(F.count("*").alias("n")).filter("n > 1")
+    return matching.repeated(V.coo(s, d), "i", "j")
 
 
 @query
@@ -322,7 +308,7 @@ def conjugate_gradient(s, d):
     a = linalg.from_triplets(V.coo(s, d))
     g = linalg.multiply(a, linalg.transpose(a))
     m = save(g.select("i", "j", F.when(F.col("i") == F.col("j"), F.col("v") * 2).otherwise(F.col("v")).alias("v")), "cg-matrix")  # every step reads it
-    return rounded(linalg.conjugate_gradient(m, m.filter("i = j").select("i", F.lit(1.0).alias("v")), steps=60), 14)
+    return rounded(linalg.conjugate_gradient(m, m.filter("i = j").select("i", F.lit(1.0).alias("v")), steps=60).select("i", "v"), 14)
 
 
 @query
@@ -505,8 +491,7 @@ def typed_attributes(s, d):
 @query
 def file_names(s, d):
     path = F.concat(F.lit("C:\\data/"), F.col("p_brand"), F.lit("/"), F.col("p_name"), F.lit(".tif"))
-    parts = F.split(path, r"[\\/]")
-    return V.table(s, d, "part").select("p_partkey", F.element_at(parts, -1).alias("name"), F.regexp_replace(path, r"[\\/][^\\/]*$", "").alias("folder"))
+    return V.table(s, d, "part").select("p_partkey", files.file_name(path).alias("name"), files.folder_name(path).alias("folder"))
 
 
 # post-filters
@@ -528,8 +513,11 @@ _post("tree_filter", radius=2, iterations=1)
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(TWINS)
+
+
+from . import algebra, filters, photogrammetry  # noqa: E402, F401  # they add their queries and twins

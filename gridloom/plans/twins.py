@@ -36,7 +36,12 @@ twin("pixel_to_geo", "dsm", f"SELECT y, x::INT AS x, {r('500000.0::DOUBLE + 0.5:
 _inv = [f"({v!r})::DOUBLE" for v in invert_transform([500000.0, 0.5, 0.01, 4100000.0, 0.02, -0.5])]
 twin("geo_to_pixel", "pts", f"SELECT id, {r(f'{_inv[0]} + {_inv[1]} * lon + {_inv[2]} * lat', 'col')}, {r(f'{_inv[3]} + {_inv[4]} * lon + {_inv[5]} * lat', 'row')} FROM pts")
 twin("point_values", "dsm", "SELECT id, p.y, p.x::INT AS x, (SELECT v FROM dsm WHERE dsm.y = p.y AND dsm.x = p.x) AS v FROM (SELECT c_custkey AS id, (c_custkey * 37) % 600 AS y, (c_custkey * 11) % 70 AS x FROM customer) p")
-twin("tile_mosaic", "dsm", f"SELECT y, x::INT AS x, {r('v', 'v')} FROM dsm")
+#: a pixel meets every tile whose 20 rows and columns hold it; weights are distances to the tile's rims
+twin(
+    "tile_mosaic", "dsm dims", f"SELECT y, x::INT AS x, {r('sum(w * v) / sum(w)', 'v')} FROM (SELECT y, x, v + (ty + 2 * tx) % 3 * 10 AS v, least(y - ty * 16 + 1, ty * 16 + 20 - y) * least(x - tx * 16 + 1, tx * 16 + 20 - x) AS w FROM dsm "
+    "JOIN tys ON y BETWEEN ty * 16 AND ty * 16 + 19 JOIN txs ON x BETWEEN tx * 16 AND tx * 16 + 19) GROUP BY y, x",
+    "tys AS (SELECT unnest(range((SELECT h // 16 + 1 FROM dims))) AS ty), txs AS (SELECT unnest(range((SELECT w // 16 + 1 FROM dims))) AS tx)",
+)
 
 KERNEL = "CASE WHEN dy = 0 AND dx = 0 THEN -3.0::DOUBLE WHEN dy <> 0 AND dx <> 0 THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END"
 LAPLACE = f"lap AS (SELECT p.y, p.x, sum({KERNEL} * q.v) AS v FROM dsm p, off JOIN dsm q ON q.y = p.y + dy AND q.x = p.x + dx GROUP BY p.y, p.x)"

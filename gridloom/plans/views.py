@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import raster
+from ..operators import raster, sensor
 
 HEIGHTS = "embeddings"
 WIDTH = 64
@@ -19,12 +19,10 @@ def dsm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.from_arrays(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
-def height(px: DataFrame) -> int:
-    return (px.agg(F.max("y")).first()[0] or -1) + 1
-
-
-def width(px: DataFrame) -> int:
-    return (px.agg(F.max("x")).first()[0] or -1) + 1
+def size(px: DataFrame) -> tuple[int, int]:
+    """Height and width; 0, 0 for an empty raster."""
+    last = px.agg(F.max("y"), F.max("x")).first()
+    return tuple(0 if k is None else k + 1 for k in last)
 
 
 def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +68,37 @@ def regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def model(k: Column) -> Column:
+    """A sensor model of number k: nearly affine, each with a viewing angle of its own."""
+    angle = F.pmod(k, F.lit(7)).cast("double") - 3.0
+    scalars = {"line_off": 5000.0 + k, "samp_off": 4000.0 - k, "lat_off": F.lit(0.0), "long_off": F.lit(0.0), "height_off": F.lit(100.0), "line_scale": F.lit(5000.0), "samp_scale": F.lit(4000.0), "lat_scale": F.lit(90.0), "long_scale": F.lit(180.0), "height_scale": F.lit(300.0)}
+    row = lambda *first: F.array(*[x if isinstance(x, Column) else F.lit(float(x)) for x in first], *[F.lit(0.0005)] * (20 - len(first)))
+    lists = {"line_num": row(0.01, 0.02, 1.0, angle * 0.02, 0.003), "line_den": row(1.0, 0.001, 0.002, 0.001), "samp_num": row(0.02, 1.0, 0.03, F.pmod(k, F.lit(5)) * 0.03 - 0.06, 0.002), "samp_den": row(1.0, -0.002, 0.001, 0.001)}
+    return F.struct(*[v.cast("double").alias(n) for n, v in scalars.items()], *[v.alias(n) for n, v in lists.items()])
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image for each nation: 10,000 rows of 8,000 columns."""
+    k = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(k.alias("image"), model(k).alias("model"), F.lit(10_000).alias("rows"), F.lit(8_000).alias("cols"))
+
+
+def ground(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points with heights, kept off the rim of what the models cover."""
+    return points(spark, sf_dir).select(F.col("id").alias("point"), (F.col("lat") * 0.8).alias("lat"), (F.col("lon") * 0.8).alias("lon"), (F.col("id") % 400 - 50).cast("double").alias("height"))
+
+
+def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each point is seen by three or four images."""
+    k = F.col("c_custkey")
+    seen = F.array_distinct(F.array(k % 25, (k + 7) % 25, (k * 3 + 11) % 25, (k + 16) % 25))
+    return table(spark, sf_dir, "customer").select(k.alias("point"), F.explode(seen.cast("array<int>")).alias("image"))
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sensor.observed(ground(spark, sf_dir), images(spark, sf_dir).select("image", "model"), sightings(spark, sf_dir))
+
+
 #: the same views for the SQL twins
 SQL = {
     "dsm": "dsm AS (SELECT vec_id AS y, i - 1 AS x, embedding[i]::DOUBLE AS v FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i))",
@@ -78,6 +107,8 @@ SQL = {
     "dsm2": "dsm2 AS (SELECT y, x - 1 AS x, v * 2 + 3 AS v FROM dsm WHERE x >= 1)",
     "dims": "dims AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM dsm)",
     "pts": "pts AS (SELECT c_custkey AS id, ((c_custkey * 7919) % 16400)::DOUBLE / 100 - 80 AS lat, ((c_custkey * 104729) % 36000)::DOUBLE / 100 - 180 AS lon FROM customer)",
+    "ground": "ground AS (SELECT c_custkey AS point, (((c_custkey * 7919) % 16400)::DOUBLE / 100 - 80) * 0.8::DOUBLE AS lat, (((c_custkey * 104729) % 36000)::DOUBLE / 100 - 180) * 0.8::DOUBLE AS lon, (c_custkey % 400 - 50)::DOUBLE AS height FROM customer)",
+    "seen": "seen AS (SELECT DISTINCT point, image FROM (SELECT c_custkey AS point, unnest([c_custkey % 25, (c_custkey + 7) % 25, (c_custkey * 3 + 11) % 25, (c_custkey + 16) % 25])::INT AS image FROM customer))",
     "coo": "coo AS (SELECT l_suppkey AS i, l_partkey AS j, l_quantity AS v FROM lineitem)",
     "coo2": "coo2 AS (SELECT l_suppkey AS i, l_partkey AS j, l_discount AS v FROM lineitem WHERE l_linenumber % 2 = 0)",
     "ls": "ls AS (SELECT 1.0::DOUBLE AS x0, l_quantity AS x1, l_discount AS x2, l_tax AS x3, l_extendedprice AS y, l_returnflag AS g FROM lineitem)",

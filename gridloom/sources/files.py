@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: schema of the filter project; attributes carry a leading underscore
@@ -97,3 +97,85 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 def count_lines(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).count()
+
+
+def file_name(path: Column) -> Column:
+    """Last part of a path with either kind of slash."""
+    return F.element_at(F.split(path, r"[\\/]"), -1)
+
+
+def folder_name(path: Column) -> Column:
+    """A path without its last part; the path itself if it has only one."""
+    return F.regexp_replace(path, r"[\\/][^\\/]*$", "")
+
+
+def read_ini(spark: SparkSession, path: str) -> DataFrame:
+    """path, section, key, value of each setting; the last one of a key counts, as do values before any section
+    (section ""). Comments begin with ; or #. Reading writes nothing back: give defaults with :func:`setting`."""
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r?\n|\r")).alias("n", "line"))
+    section = F.nullif(F.regexp_extract("line", r"^\s*\[([^\]]*)\]", 1), F.lit(""))
+    key = F.trim(F.regexp_extract("line", r"^\s*([^;#\[=][^=]*)=", 1))
+    value = F.trim(F.regexp_extract("line", r"^[^=]*=(.*)$", 1))
+    rows = lines.select("path", "n", section.alias("head"), key.alias("key"), value.alias("value"))
+    within = Window.partitionBy("path").orderBy("n")  # a file's lines; a settings file is small
+    rows = rows.withColumn("section", F.coalesce(F.last("head", ignorenulls=True).over(within), F.lit(""))).filter("key <> ''")
+    return rows.groupBy("path", "section", "key").agg(F.max_by("value", "n").alias("value"))
+
+
+def setting(settings: DataFrame, section: str, key: str, default: str) -> str:
+    row = settings.filter((F.col("section") == section) & (F.col("key") == key)).select("value").first()
+    return default if row is None else row[0]
+
+
+#: fields of a matching project, in any case and order; fixed names
+MATCHING_PROJECT = {
+    "img_rpb_folder_path": "string", "AOI_kml_path": "string", "AOI_cutting_extra_size": "int", "Plane_rectification_tile_size": "int", "Plane_rectification_overlap_size": "int",
+    "Pair_overlap_area": "double", "mch_win_size": "int", "mch_epi_stepH": "double", "mch_epi_search_range": "int",
+}
+
+
+def read_matching_project(spark: SparkSession, path: str) -> DataFrame:
+    """One row per matching project: elements or "name = value" lines by the field's name; absent or
+    malformed ones are NULL."""
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+
+    def field(name: str, kind: str) -> Column:
+        element = F.nullif(F.trim(F.regexp_extract("value", rf"(?is)<\s*{name}\s*>(.*?)</\s*{name}\s*>", 1)), F.lit(""))
+        line = F.nullif(F.trim(F.regexp_extract("value", rf"(?im)^\s*{name}\s*[=:]([^\r\n]*)$", 1)), F.lit(""))
+        return F.coalesce(element, line).try_cast(kind).alias(name)
+
+    return texts.select("path", *[field(n, k) for n, k in MATCHING_PROJECT.items()])
+
+
+def read_rpc_rpb(spark: SparkSession, path: str) -> DataFrame:
+    """Rational sensor models in "name = value;" form with coefficient lists in brackets."""
+    names = dict(zip(RPC_SCALARS, ("lineOffset", "sampOffset", "latOffset", "longOffset", "heightOffset", "lineScale", "sampScale", "latScale", "longScale", "heightScale")))
+    lists = dict(zip(RPC_ARRAYS, ("lineNumCoef", "lineDenCoef", "sampNumCoef", "sampDenCoef")))
+    number = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("t"))
+    scalar = lambda n: F.nullif(F.regexp_extract("t", rf"(?i)\b{names[n]}\s*=\s*({number})", 1), F.lit("")).try_cast("double").alias(n)
+    array = lambda n: F.transform(F.regexp_extract_all(F.regexp_extract("t", rf"(?is)\b{lists[n]}\s*=\s*\((.*?)\)", 1), F.lit(f"({number})"), F.lit(1)), lambda x: x.try_cast("double")).alias(n)
+    return texts.select("path", *[scalar(n) for n in RPC_SCALARS], *[array(n) for n in RPC_ARRAYS])
+
+
+def write_rpc_rpb(models: DataFrame, path: str) -> None:
+    """One text row per model, in the form that :func:`read_rpc_rpb` reads."""
+    names = ("lineOffset", "sampOffset", "latOffset", "longOffset", "heightOffset", "lineScale", "sampScale", "latScale", "longScale", "heightScale")
+    lists = ("lineNumCoef", "lineDenCoef", "sampNumCoef", "sampDenCoef")
+    scalars = [F.concat(F.lit(f"\t{n} = "), F.col(c).cast("string"), F.lit(";")) for c, n in zip(RPC_SCALARS, names)]
+    arrays = [F.concat(F.lit(f"\t{n} = (\n\t\t\t"), F.array_join(F.transform(c, lambda v: v.cast("string")), ",\n\t\t\t"), F.lit(");")) for c, n in zip(RPC_ARRAYS, lists)]
+    models.select(F.concat_ws("\n", F.lit("BEGIN_GROUP = IMAGE"), *scalars, *arrays, F.lit("END_GROUP = IMAGE"), F.lit("END;")).alias("value")).write.text(path)
+
+
+def raster_info(px: DataFrame, *by: str) -> DataFrame:
+    """Rows, columns, pixels, values, and the least number of bits (8, 16, 32 for whole numbers, 64 otherwise) of a raster in pixel form, per group."""
+    whole = F.bool_and(F.col("v") == F.floor("v"))
+    bits = F.when(whole & (F.min("v") >= 0) & (F.max("v") < 256), 8).when(whole & (F.min("v") >= 0) & (F.max("v") < 65536), 16).when(whole & (F.max(F.abs("v")) < 2**31), 32).otherwise(64)
+    return px.groupBy(*by).agg((F.coalesce(F.max("y"), F.lit(-1)) + 1).cast("long").alias("rows"), (F.coalesce(F.max("x"), F.lit(-1)) + 1).cast("long").alias("cols"), F.count("*").alias("pixels"), F.count("v").alias("values"), F.when(F.count("v") > 0, bits).alias("bits"))
+
+
+def copy_geo(images: DataFrame, source: DataFrame) -> DataFrame:
+    """``images`` (image, from, ...) with transform and projection of the image that ``from`` names in ``source``
+    (image, transform, projection); NULL where it has none."""
+    geo = source.select(F.col("image").alias("from"), "transform", "projection")
+    return images.drop("transform", "projection").join(geo, "from", "left")
