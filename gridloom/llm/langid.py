@@ -57,11 +57,16 @@ def grams(word: str, n: int) -> list[str]:
 class Table:
     """Log10 frequencies of keys by language; only what differs from an absent key's is stored."""
 
-    def __init__(self, rows: list[tuple[str, str, int]], langs: dict[str, int]):
+    def __init__(self, rows: list[tuple[str, str, int]] | pa.Table, langs: dict[str, int]):
+        if isinstance(rows, pa.Table):  # a column at a time: no object for each row
+            names, keys, times = (rows.column(c) for c in ("lang", "key", "n"))
+            lang = np.fromiter((langs[x.as_py()] for x in names), np.int32, len(rows))
+            keys, n = (k.as_py() for k in keys), times.to_numpy().astype(np.float64)
+        else:
+            lang = np.fromiter((langs[x] for x, _, _ in rows), np.int32, len(rows))
+            keys, n = (k for _, k, _ in rows), np.fromiter((n for _, _, n in rows), np.float64, len(rows))
         self.at: dict[str, int] = {}
-        key = np.fromiter((self.at.setdefault(k, len(self.at)) for _, k, _ in rows), np.int64, len(rows))
-        lang = np.fromiter((langs[x] for x, _, _ in rows), np.int32, len(rows))
-        n = np.fromiter((n for _, _, n in rows), np.float64, len(rows))
+        key = np.fromiter((self.at.setdefault(k, len(self.at)) for k in keys), np.int64, len(rows))
         total = np.bincount(lang, n, len(langs)) + 0.5 * (len(self.at) + 1)
         order = np.argsort(key, kind="stable")
         self.ends = np.cumsum(np.bincount(key, minlength=len(self.at)))
@@ -180,7 +185,7 @@ def fit(docs: DataFrame, held_out: Column, sample_docs: int = SAMPLE_DOCS, max_d
     kind = "lang string, key string, n long"
     words = save(sample.mapInPandas(_word_counts, kind).groupBy("lang", "key").agg(F.sum("n").alias("n")), "language-words")
     parts = words.mapInPandas(_gram_counts, kind).groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    rows = lambda df: [tuple(r) for r in df.orderBy("key", "lang").collect()]  # noqa: E731  # the vocabulary of the sample
+    rows = lambda df: df.select("lang", "key", "n").toArrow()  # noqa: E731  # the vocabulary of the sample
     found = words.select("lang").distinct().join(sizes, "lang").orderBy("lang").collect()  # no more than rows in the sample
     total = sum(r["n"] for r in found)
     return Model([r["lang"] for r in found], [float(np.log10(r["n"] / total)) for r in found], rows(words), rows(parts))
