@@ -178,7 +178,7 @@ def small_inverse(s, d):
     """Inverses of 3 x 3 matrices, one an order of three lines or more."""
     li = V.table(s, d, "lineitem").filter("l_linenumber <= 3")
     whole = li.join(li.groupBy("l_orderkey").agg(F.count("*").alias("n")).filter("n = 3").select("l_orderkey"), "l_orderkey")
-    cells = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), c.cast("double").alias("v")) for j, c in enumerate((F.col("l_quantity"), F.col("l_linenumber") * 3.0, F.pmod(F.col("l_partkey"), F.lit(11)) + F.col("l_linenumber") ** 2), 1)]))
+    cells = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), c.cast("double").alias("v")) for j, c in enumerate((F.col("l_quantity"), F.sqrt(F.col("l_linenumber") * 3.0), F.pmod(F.col("l_partkey"), F.lit(11)) + F.col("l_linenumber") ** 2), 1)]))
     m = whole.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("i"), cells.alias("c")).select("k", "i", F.col("c.j").cast("long").alias("j"), "c.v")
     return rounded(linalg.inverse(m, "k").filter("v is not null"), 4)
 
@@ -186,7 +186,7 @@ def small_inverse(s, d):
 _INV = {(1, 1): "e * i - f * h", (1, 2): "c * h - b * i", (1, 3): "b * f - c * e", (2, 1): "f * g - d * i", (2, 2): "a * i - c * g", (2, 3): "c * d - a * f", (3, 1): "d * h - e * g", (3, 2): "b * g - a * h", (3, 3): "a * e - b * d"}
 twin(
     "small_inverse", "", " UNION ALL ".join(f"SELECT k, {p}::BIGINT AS i, {q}::BIGINT AS j, {r(f'({x}) / det', 'v', 4)} FROM m WHERE abs(det) > 1e-9" for (p, q), x in _INV.items()),
-    "rows AS (SELECT l_orderkey AS k, l_linenumber AS n, l_quantity AS p, l_linenumber * 3.0::DOUBLE AS q, (l_partkey % 11 + l_linenumber * l_linenumber)::DOUBLE AS r FROM lineitem WHERE l_linenumber <= 3), "
+    "rows AS (SELECT l_orderkey AS k, l_linenumber AS n, l_quantity AS p, sqrt(l_linenumber * 3.0::DOUBLE) AS q, (l_partkey % 11 + l_linenumber * l_linenumber)::DOUBLE AS r FROM lineitem WHERE l_linenumber <= 3), "
     "flat AS (SELECT k, max(p) FILTER (n = 1) AS a, max(q) FILTER (n = 1) AS b, max(r) FILTER (n = 1) AS c, max(p) FILTER (n = 2) AS d, max(q) FILTER (n = 2) AS e, max(r) FILTER (n = 2) AS f, max(p) FILTER (n = 3) AS g, max(q) FILTER (n = 3) AS h, max(r) FILTER (n = 3) AS i FROM rows GROUP BY k HAVING count(*) = 3), "
     "m AS (SELECT *, a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g) AS det FROM flat)",
 )
