@@ -101,6 +101,14 @@ class Model:
         at = {lang: i for i, lang in enumerate(langs)}
         self.words, self.grams = Table(words, at), Table(parts, at)
 
+    def scorer(self) -> "Scorer":
+        """Kept with the model, so that a worker's next task finds its words again."""
+        self.kept = getattr(self, "kept", None) or Scorer(self)
+        return self.kept
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "kept"}
+
     def vote(self, word: str) -> np.ndarray:
         got = self.words.at.get(word)
         if got is not None:
@@ -197,7 +205,7 @@ def predictor(docs: DataFrame, model: Model):
 
     @F.arrow_udf("lang_pred string, score double")
     def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = Scorer(sent.value)
+        scorer = sent.value.scorer()
         for part in texts:
             found = [scorer.predict(t.as_py()) for t in part]
             yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], ["lang_pred", "score"])

@@ -33,7 +33,7 @@ HASH_BITS = 20
 GRAMS = (3, 4, 5, 6, 7)
 LEVELS = (1, 2, 3, 5)
 SAMPLE_DOCS = 6000
-MIN_Z = 2.0
+MIN_Z = 2.5
 MIN_DOCS = 3
 STEPS = 150
 RIDGE = 1e-3
@@ -84,6 +84,14 @@ class Model:
         self.features, self.weights, self.bias = features, weights, bias
 
     def scorer(self):
+        """text -> probability; kept with the model, so that a worker's next task finds its words again."""
+        self.kept = getattr(self, "kept", None) or self._scorer()
+        return self.kept
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "kept"}
+
+    def _scorer(self):
         weight = np.zeros(len(LEVELS) << HASH_BITS, np.float32)
         weight[self.features] = self.weights
         active = np.zeros(1 << HASH_BITS, bool)
@@ -120,14 +128,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def solve(rows: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights of the chosen features (their places in ``rows``, values ``ratio``) and bias."""
     y = toxic.astype(np.float64)
-    col = np.concatenate(rows).astype(np.int32)
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    col = np.concatenate(rows).astype(np.int64)
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    by_col = np.argsort(col, kind="stable")
+    row_of, (kinds, begins) = row[by_col], np.unique(col[by_col], return_index=True)
+    (some,) = np.nonzero([len(r) for r in rows])
+    ends = np.searchsorted(row, some)
+    del row, by_col
     w, b = np.zeros(len(ratio)), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     m, v = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     for t in range(1, STEPS + 1):
-        z = np.bincount(row, (w * ratio)[col], len(y)) + b
+        z = np.full(len(y), b)
+        if len(col):
+            z[some] += np.add.reduceat((w * ratio)[col], ends)
         err = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / len(y)
-        g = np.append(ratio * np.bincount(col, err[row], len(ratio)) + RIDGE * w, err.sum())
+        slope = np.zeros(len(ratio))
+        if len(col):
+            slope[kinds] = np.add.reduceat(err[row_of], begins)
+        g = np.append(ratio * slope + RIDGE * w, err.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]

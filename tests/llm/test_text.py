@@ -247,3 +247,20 @@ def test_html_odd_rows(spark):
     rows = [(1, "u", None), (None, None, f"<p>{LONG}</p>"), (1, "u", None), (2, "v", "<p>x" * 20_000)]
     got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == 4 and sorted(r.n_chars for r in got) == [0, 0, 0, len(LONG)]
+
+
+def test_fit_by_the_definition():
+    """Weights of a small logistic fit: the gradient of loss and ridge vanishes."""
+    rng = np.random.default_rng(3)
+    rows = [np.flatnonzero(rng.random(6) < 0.5).astype(np.int32) for _ in range(60)]
+    rows[7] = rows[7][:0]
+    toxic, ratio = (rng.random(60) < 0.4).astype(int), rng.normal(size=6)
+    w, b = toxicity.solve(rows, toxic, ratio)
+    x = np.zeros((60, 6))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r]
+    v = w / ratio
+    err = (1 / (1 + np.exp(-(x @ v + b))) - toxic) / 60
+    assert np.abs(x.T @ err + toxicity.RIDGE * v).max() < 5e-3 and abs(err.sum()) < 5e-3
+    none = toxicity.solve([r[:0] for r in rows], toxic, ratio)
+    assert not none[0].any() and math.isclose(1 / (1 + math.exp(-none[1])), toxic.mean(), abs_tol=0.02)
