@@ -1,4 +1,9 @@
-"""Radiometric matching, feature selection, least-squares matching and tie-point tables."""
+"""Radiometric matching, feature selection, least-squares matching and tie-point tables.
+
+Pixels without a value (NULL) count in no mean, score or histogram and count as zero in gradients and patches; windows
+that leave the raster are rejected. Ties go to the first in row order or to the lowest id, as each function
+says. Groups without values give NULL scores; empty tables give no rows (one of NULLs for coefficients).
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Wallis contrast enhancement: a grid of local linear maps, interpolated at every pixel."""
+"""Wallis contrast enhancement: a grid of local linear maps, interpolated at every pixel.
+
+Zeros are no-data and stay zero; NULL values stay NULL and count as zero in a cell's sums. Rasters have a
+pixel once (:func:`raster.unique`); an empty raster is below the least size and raises ValueError.
+"""
 
 from __future__ import annotations
 
