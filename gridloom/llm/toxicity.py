@@ -36,6 +36,7 @@ SAMPLE_DOCS = 6000
 MIN_Z = 2.5
 MIN_DOCS = 3
 STEPS = 150
+DOCS_AT_ONCE = 500
 RIDGE = 1e-3
 THRESHOLD = 0.3
 MEMO_WORDS = 600_000
@@ -126,26 +127,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def solve(rows: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights of the chosen features (their places in ``rows``, values ``ratio``) and bias."""
-    y = toxic.astype(np.float64)
-    col = np.concatenate(rows).astype(np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    by_col = np.argsort(col, kind="stable")
-    row_of, (kinds, begins) = row[by_col], np.unique(col[by_col], return_index=True)
-    (some,) = np.nonzero([len(r) for r in rows])
-    ends = np.searchsorted(row, some)
-    del row, by_col
+    """Weights of the chosen features (their places in ``rows``, values ``ratio``) and bias. Texts go
+    through each step ``DOCS_AT_ONCE`` at a time, so that little more than the places themselves is held."""
+    y, n = toxic.astype(np.float64), np.array([len(r) for r in rows])
+    col, ends = np.concatenate(rows).astype(np.int32, copy=False), np.append(0, np.cumsum(n))
     w, b = np.zeros(len(ratio)), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     m, v = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     for t in range(1, STEPS + 1):
-        z = np.full(len(y), b)
-        if len(col):
-            z[some] += np.add.reduceat((w * ratio)[col], ends)
-        err = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / len(y)
-        slope = np.zeros(len(ratio))
-        if len(col):
-            slope[kinds] = np.add.reduceat(err[row_of], begins)
-        g = np.append(ratio * slope + RIDGE * w, err.sum())
+        values, slope, errors = w * ratio, np.zeros(len(ratio)), 0.0
+        for lo in range(0, len(rows), DOCS_AT_ONCE):
+            some = slice(lo, lo + DOCS_AT_ONCE)
+            size, part = n[some], col[ends[lo] : ends[min(lo + DOCS_AT_ONCE, len(rows))]]
+            z, (full,) = np.full(len(size), b), np.nonzero(size)
+            if len(part):
+                z[full] += np.add.reduceat(values[part], (ends[:-1][some] - ends[lo])[full])
+            err = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[some]) / len(y)
+            slope += np.bincount(part, np.repeat(err, size), len(ratio))
+            errors += err.sum()
+        g = np.append(ratio * slope + RIDGE * w, errors)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
