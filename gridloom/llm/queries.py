@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, langid, line_rules, lm_score, media, merkle, mixing, packing, simhash, token_file, toxicity
+from . import divergence, html_text, langid, line_rules, lm_score, media, merkle, mixing, packing, simhash, token_file, toxicity
 from .common import read
 
 
@@ -53,6 +53,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(read(spark, sf_dir, "documents"))
 
@@ -69,9 +73,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media": op8_media,
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
+        "op11_divergence": op11_divergence,
         "op12_merkle": op12_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_rules": line_rules.ORACLE_SQL}
+    return {"op5_line_rules": line_rules.ORACLE_SQL, "op11_divergence": divergence.ORACLE_SQL}
