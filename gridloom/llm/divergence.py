@@ -122,7 +122,7 @@ def _occurrences(sent, offset: int):
 
 def permille(count: Column, total: Column) -> Column:
     """1 + floor(10**9 * count / total), exact by three steps of long division; 1 where total is 0. Totals below 9 * 10**15."""
-    out, rest = F.lit(0).cast("long"), count
+    out, rest, total = F.lit(0).cast("long"), count, F.nullif(total, F.lit(0))
     for _ in range(3):
         up = (rest * 1000).alias("up")
         out, rest = out * 1000 + F.call_function("div", up, total), up % total
