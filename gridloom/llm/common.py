@@ -8,7 +8,7 @@ from pyspark.sql.types import IntegralType, NullType
 
 from ..sources.storage import new_folder, save, shared_dir
 
-__all__ = ["add_starts", "crc_mod", "free_name", "hashed_share", "integer_id", "new_folder", "ordered", "read", "remainder_is", "salted_join", "save", "shared_dir"]
+__all__ = ["add_starts", "crc_mod", "free_name", "hashed_share", "integer_id", "labelled_sample", "new_folder", "ordered", "read", "remainder_is", "row_share", "salted_join", "save", "shared_dir"]
 
 
 def ordered(df: DataFrame, *keys: Column | str) -> DataFrame:
@@ -54,6 +54,28 @@ def hashed_share(key: Column, share: float | Column) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit(""))), F.lit(1_000_003)) < F.lit(1_000_003) * share
 
 
+def row_share(share: float | Column, *values: Column | str) -> Column:
+    """True for a pseudo-random ``share`` of the rows, also of rows that are alike: their place in the partition counts."""
+    return F.pmod(F.xxhash64(*values, F.monotonically_increasing_id()), F.lit(1_000_003)) < F.lit(1_000_003) * share
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, held_out: Column, sample_docs: int) -> tuple[DataFrame, dict[int, int], dict[int, int]]:
+    """(label, text) of about ``sample_docs`` rows of each label 0 and 1 that aren't ``held_out``; ids and drawn rows by label.
+
+    Ids are drawn first, by their hash, and go to all tasks: twice ``sample_docs`` of them. An id may have
+    any number of rows, so their rows are counted and drawn once more. Contradicting labels of an id count as 1.
+    """
+    label = F.col(column).cast("int")
+    known = labels.select("doc_id", label.alias("label")).filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label")).filter(~held_out)
+    count = lambda df: {r["label"]: r["n"] for r in df.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    share = lambda sizes: F.when(F.col("label") == 1, min(1.0, sample_docs / max(1, sizes.get(1, 0)))).otherwise(min(1.0, sample_docs / max(1, sizes.get(0, 0))))
+    n = count(known)
+    ids = save(known.filter(hashed_share(F.col("doc_id"), share(n))), "sample-ids")
+    rows = lambda *columns: docs.select("doc_id", *columns).join(F.broadcast(ids), "doc_id")
+    sample = save(rows("text").filter(row_share(share(count(rows())), "doc_id", "text")).select("label", "text"), "labelled-sample")
+    return sample, n, count(sample)
+
+
 def integer_id(docs: DataFrame) -> Column:
     """``doc_id`` as a long; TypeError if it is of no integer type."""
     kind = docs.schema["doc_id"].dataType

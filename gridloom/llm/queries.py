@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, html_text, langid, line_rules, lm_score, media, merkle, mixing, packing, simhash, token_file, toxicity
+from . import divergence, html_text, langid, line_rules, lm_score, media, merkle, mixing, packing, quality, simhash, token_file, toxicity
 from .common import read
 
 
@@ -61,6 +61,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(read(spark, sf_dir, "documents"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_packing": op10_packing,
         "op11_divergence": op11_divergence,
         "op12_merkle": op12_merkle,
+        "op13_quality": op13_quality,
     }
 
 
