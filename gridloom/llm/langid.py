@@ -2,8 +2,8 @@
 
 A text's words vote with their log10 frequency in each language. A word that no training text
 has votes with the mean of its known character n-grams of the greatest size, 5 down to
-1, that has any known. The model is fitted on a bounded sample of labelled rows, chosen by a hash of the
-id: about ``sample_docs`` a language, but ``max_docs`` over all languages, which then share them
+1, that has any known. The model is fitted on a bounded sample of labelled rows, drawn by a hash of id, text
+and row: about ``sample_docs`` a language, but ``max_docs`` over all languages, which then share them
 evenly. It holds every word and n-gram of the sample, of every language, as sparse rows, so its size is that
 of the sample's vocabulary.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, hashed_share, remainder_is, save
+from .common import free_name, remainder_is, row_share, save
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 2000
@@ -189,7 +189,7 @@ def fit(docs: DataFrame, held_out: Column, sample_docs: int = SAMPLE_DOCS, max_d
     if not kinds:
         return Model([], [], [], [])
     share = sizes.select("lang", F.least(F.lit(1.0), F.lit(min(sample_docs, max_docs / kinds)) / F.col("n")).alias("_share"))
-    sample = labelled.join(F.broadcast(share) if kinds <= FEW_LANGS else share, "lang").filter(hashed_share(F.col("doc_id"), F.col("_share"))).select("lang", "text")
+    sample = labelled.join(F.broadcast(share) if kinds <= FEW_LANGS else share, "lang").filter(row_share(F.col("_share"), "doc_id", "text")).select("lang", "text")
     kind = "lang string, key string, n long"
     words = save(sample.mapInPandas(_word_counts, kind).groupBy("lang", "key").agg(F.sum("n").alias("n")), "language-words")
     parts = words.mapInPandas(_gram_counts, kind).groupBy("lang", "key").agg(F.sum("n").alias("n"))

@@ -8,9 +8,9 @@ times. A feature's value is its log-count ratio
 
 of the toxic texts (p of P) and the others (q of Q) that have it. Weights come from logistic
 regression on these values. The classifier is fitted on a bounded sample of labelled
-rows: about ``sample_docs`` of each label, chosen by a hash of the id; the bias is then moved to
-the share of toxic rows among all labelled ones. Every feature of the sample keeps a weight whose ratio is
-told from 0 by ``MIN_Z`` of its standard errors, which are about sqrt(1 / (p + 1) + 1 / (q + 1)).
+rows: about ``sample_docs`` of each label, drawn by hashes of ids and rows; the bias is then moved to
+the share of toxic rows among all labelled ones. A feature keeps a weight if at least ``MIN_DOCS`` texts of the sample have it
+and its ratio is told from 0 by ``MIN_Z`` of its standard errors, which are about sqrt(1 / (p + 1) + 1 / (q + 1)).
 """
 
 from __future__ import annotations
@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, hashed_share, remainder_is, save
+from .common import free_name, labelled_sample, remainder_is, save
 
 HASH_BITS = 20
 GRAMS = (3, 4, 5, 6, 7)
 LEVELS = (1, 2, 3, 5)
 SAMPLE_DOCS = 6000
-MIN_Z = 2.5
+MIN_Z = 2.0
 MIN_DOCS = 3
 STEPS = 150
 DOCS_AT_ONCE = 500
@@ -180,19 +180,13 @@ def _fit(ratio: np.ndarray):
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample_docs: int = SAMPLE_DOCS, min_z: float = MIN_Z) -> Model:
     """Learn from labelled rows that aren't ``held_out``; contradicting labels of an id count as toxic."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.filter(~held_out)
-    n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    rows, n, drawn = labelled_sample(docs, labels, "toxic", held_out, sample_docs)
     none = np.zeros(0, np.int64), np.zeros(0, np.float32)
     if not n.get(0) or not n.get(1):
         return Model(*none, 50.0 if n.get(1) else -50.0)
-    share = F.when(F.col("toxic") == 1, min(1.0, sample_docs / n[1])).otherwise(min(1.0, sample_docs / n[0]))
-    chosen = known.filter(hashed_share(F.col("doc_id"), share))
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")  # about 2 * sample_docs ids
-    sample = save(sample.mapInPandas(_featurise, "toxic int, features binary"), "toxic-sample")
-    drawn = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not drawn.get(0) or not drawn.get(1):
         return Model(*none, float(np.log(n[1] / n[0])))
+    sample = save(rows.select(F.col("label").alias("toxic"), "text").mapInPandas(_featurise, "toxic int, features binary"), "toxic-sample")
     counts = sample.mapInArrow(_count, "feature long, n long, p long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).filter(F.col("n") >= MIN_DOCS)
     ratio = F.log((F.col("p") + 1) / (drawn[1] + 1)) - F.log((F.col("n") - F.col("p") + 1) / (drawn[0] + 1))
     error = F.sqrt(1 / (F.col("p") + 1) + 1 / (F.col("n") - F.col("p") + 1))
