@@ -7,7 +7,8 @@ counts in pass 1 only. Of the other blocks:
 
 1. *good*: at least ``MIN_GOOD`` characters, ``STOP_DENSITY`` of the words are stop words and links
    hold at most ``MAX_LINKS`` of the characters; *bad*: links hold more than that, or the block isn't good
-   and inside an element with a doubtful name; all others are ambiguous.
+   and inside an element with a doubtful name; all others are ambiguous. So are linked headings, table cells, captions and
+   list items of an article or main, but not ``LINK_RUN`` and more linked list items in a row.
 2. An ambiguous block takes the label of the nearest decided block of the same container (the
    innermost article or main, else the page); of two equally near, good wins. In a
    container without decided blocks it is good if that is an article or main, else bad.
@@ -15,7 +16,10 @@ counts in pass 1 only. Of the other blocks:
 Stop words exist for four languages. Where blocks with enough of them hold less than half of a
 container's text in long blocks with few links, as in any other language, length and links alone make
 a block good. In an article or main without any good block (short blocks, lists, code) all blocks with few
-links are good; outside of them such a page stays empty.
+links are good. So are, where a page comes to nothing else, its headings, paragraphs, items and cells with few links; bare text
+outside of such elements isn't.
+
+Scripts, pictures, buttons and other elements that stand inside a line go without cutting it; formulas and labels stay.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from pyspark.sql.types import StringType
 MIN_GOOD = 70
 STOP_DENSITY = 0.2
 MAX_LINKS = 0.4
+LINK_RUN = 3
 
 #: frequent function words of the languages that the rules know
 STOP_WORDS = frozenset("""
@@ -42,11 +47,15 @@ al como con de del desde donde el ella en entre era es esta este ha hay la las l
 """.split())
 
 #: elements whose whole content is never main text
-DROPPED = frozenset("head script style noscript template svg math nav footer aside form button select textarea option label fieldset iframe object audio video canvas menu dialog".split())
+DROPPED = frozenset("head script style noscript template svg nav footer aside form button select textarea option fieldset iframe object audio video canvas menu dialog".split())
+#: those of them that stand inside a line
+INLINE = frozenset("script style noscript template svg button select textarea option iframe object audio video canvas".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead title tr ul xmp".split())
 CONTAINERS = frozenset(("article", "main"))
+KINDS = {"head": "h1 h2 h3 h4 h5 h6", "cell": "td th caption figcaption", "item": "li dt dd", "text": "p pre blockquote"}
+KIND = {name: kind for kind, names in KINDS.items() for name in names.split()}
 #: parts of class, id and role names that mark boilerplate
 COMMENTS = frozenset("comment comments commentlist respond reply replies disqus".split())
 MARKS = COMMENTS | frozenset("ad ads adbox adslot adunit adwrap advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation navi menu menus breadcrumb breadcrumbs footer sidebar side aside widget cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login search form pagination pager skip toolbar masthead complementary contentinfo".split())
@@ -79,16 +88,25 @@ def marked(attributes: str, marks: frozenset[str] = MARKS) -> int:
     return found
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int, bool, bool]]:
-    """(text, characters in links, container number, kind of container: 1 article or main, dropped, doubtful) of each block."""
+def blocks(page: str) -> list[tuple[str, int, int, int, bool, bool, str]]:
+    """(text, characters in links, container number, kind of container: 1 article or main, dropped, doubtful, kind) of each block."""
     out, parts, link_chars = [], [], 0
     containers, stack = [(0, 0)], []  # open containers; open dropped element: [name, depth, reader comments]
+    opened: list[str] = []  # open block elements
     doubt = ["", 0]  # outermost open element with a doubtful name, and its depth
     links = count = at = 0
 
+    def within() -> bool:
+        """In a dropped element of the line."""
+        return bool(stack) and stack[-1][0] in INLINE
+
+    def kind() -> str:
+        found = [KIND[x] for x in opened[-3:] if x in KIND]
+        return next((k for k in ("cell", "item") if k in found), found[-1] if found else "")
+
     def text(s: str) -> None:
         nonlocal link_chars
-        if s:
+        if s and not within():
             s = entities.unescape(s) if "&" in s else s
             parts.append(s)
             if links:
@@ -98,7 +116,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool, bool]]:
         nonlocal parts, link_chars
         line = " ".join("".join(parts).split())
         if line:
-            out.append((line, link_chars, *containers[-1], bool(stack), doubt[1] > 0))
+            out.append((line, link_chars, *containers[-1], bool(stack), doubt[1] > 0, kind()))
         parts, link_chars = [], 0
 
     while at < len(page):
@@ -123,8 +141,15 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool, bool]]:
             parts.append(" ")
         elif name == "a":
             links = max(0, links - 1) if end else 1
-        if name in BLOCK or name in DROPPED:
+        if (name in BLOCK or name in DROPPED and name not in INLINE) and not within():
             close()
+            if name in BLOCK and name not in VOID:
+                if not end:
+                    if opened and opened[-1] in KIND and (name == opened[-1] or opened[-1] == "p"):
+                        opened.pop()  # closed by this one
+                    opened.append(name)
+                elif name in opened:
+                    del opened[len(opened) - 1 - opened[::-1].index(name) :]
             links = 0 if name in BLOCK and name != "li" and end else links
         if name in VOID or attributes.endswith("/") and name not in BLOCK:
             continue
@@ -162,10 +187,14 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool, bool]]:
     return out
 
 
-def label(line: str, link_chars: int, known: bool = True) -> int:
-    """1 good, -1 bad, 0 ambiguous; stop words count in a ``known`` language only."""
-    if link_chars > MAX_LINKS * len(line.replace(" ", "")):
-        return -1
+def linked(line: str, link_chars: int) -> bool:
+    return link_chars > MAX_LINKS * len(line.replace(" ", ""))
+
+
+def label(line: str, link_chars: int, known: bool = True, soft: bool = False) -> int:
+    """1 good, -1 bad, 0 ambiguous; stop words count in a ``known`` language only; links alone don't make a ``soft`` block bad."""
+    if linked(line, link_chars):
+        return 0 if soft else -1
     if len(line) >= MIN_GOOD:
         if not known:
             return 1
@@ -175,6 +204,17 @@ def label(line: str, link_chars: int, known: bool = True) -> int:
     return 0
 
 
+def softened(found: list[tuple]) -> list[bool]:
+    """Whether a block of an article or main is a heading, cell or item, but for runs of linked items."""
+    out, run = [], 0
+    for i, b in enumerate(found):
+        out.append(b[3] == 1 and b[6] in ("head", "cell", "item"))
+        run = run + 1 if b[6] == "item" and linked(*b[:2]) else 0
+        if run >= LINK_RUN:
+            out[i - run + 1 :] = [False] * run
+    return out
+
+
 def inherit(labels: list[int], default: bool) -> list[bool]:
     """Ambiguous blocks take the nearest decided label."""
     n, far = len(labels), len(labels) + 1
@@ -197,12 +237,15 @@ def main_text(page: str | None) -> str:
     for i, b in enumerate(found):
         by.setdefault((b[2], b[3]), []).append(i)
     keep = [False] * len(found)
+    soft = softened(found)
     for (_, kind), ids in by.items():
-        labels, long = ([label(*found[i][:2], known=known) or -found[i][5] for i in ids] for known in (True, False))
+        labels, long = ([label(*found[i][:2], known=known, soft=soft[i]) or -found[i][5] for i in ids] for known in (True, False))
         size = lambda of: sum(len(found[i][0]) for i, x in zip(ids, of) if x == 1)
         labels = labels if 2 * size(labels) >= size(long) > 0 else long
         for i, good in zip(ids, inherit(labels, False) if 1 in labels else [kind == 1 and x == 0 for x in labels]):
             keep[i] = good
+    if not any(keep):
+        keep = [bool(b[6]) and not b[5] and not linked(*b[:2]) for b in found]
     return "\n".join(b[0] for b, k in zip(found, keep) if k)
 
 
