@@ -120,7 +120,7 @@ def tree_filter(z: np.ndarray, c: np.ndarray, sigma: float) -> np.ndarray:
     return (out[0] / out[1]).reshape(h, w)
 
 
-def apply(dsm: DataFrame, guide: DataFrame, method: str, radius: int = 12, iterations: int = 5, tile: int = 1000, sigma_c: float = 10.0, sigma_d: float = 5.0, sigma_z: float = 1.0, weights: tuple[float, float, float] = (0.3, 0.3, 0.6), eps: float = 1e-2) -> DataFrame:
+def apply(dsm: DataFrame, guide: DataFrame, method: str, radius: int = 12, iterations: int = 5, tile: int = 1000, tile_y: int | None = None, sigma_c: float = 10.0, sigma_d: float = 5.0, sigma_z: float = 1.0, weights: tuple[float, float, float] = (0.3, 0.3, 0.6), eps: float = 1e-2) -> DataFrame:
     """Filtered DSM (y, x, v); ``guide`` has a value for the same pixels. Holes get no value.
 
     The tree filter couples all pixels of a tile, so there its result depends on the tiling.
@@ -148,7 +148,7 @@ def apply(dsm: DataFrame, guide: DataFrame, method: str, radius: int = 12, itera
             z, c = np.where(hole, np.nanmean(z), z), np.where(hole, np.nanmean(c), c)
         for _ in range(iterations):
             z = np.where(hole, np.nan, step(z, c))
-        own = (pdf["y"] // tile == ty) & (pdf["x"] // tile == tx)
+        own = (pdf["y"] // (tile_y or tile) == ty) & (pdf["x"] // tile == tx)
         return pd.DataFrame({"y": pdf["y"], "x": pdf["x"], "v": z[y, x]})[own]
 
-    return deal(both, tile, halo).groupBy("ty", "tx").applyInPandas(one, "y long, x long, v double")
+    return deal(both, tile, halo, tile_y).groupBy("ty", "tx").applyInPandas(one, "y long, x long, v double")

@@ -70,10 +70,10 @@ def unique(px: DataFrame) -> DataFrame:
     return px.groupBy("y", "x").agg(F.max("v").alias("v"))
 
 
-def deal(px: DataFrame, tile: int, halo: int) -> DataFrame:
-    """Every pixel once for each tile (ty, tx) whose square with halo has it."""
-    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile)).cast("array<long>"))
-    return px.withColumn("ty", near("y")).withColumn("tx", near("x"))
+def deal(px: DataFrame, tile: int, halo: int, tile_y: int | None = None) -> DataFrame:
+    """Every pixel once for each tile (ty, tx) whose rectangle with halo has it; ``tile_y`` rows high if not square."""
+    near = lambda c, size: F.explode(F.sequence(F.floor((F.col(c) - halo) / size), F.floor((F.col(c) + halo) / size)).cast("array<long>"))
+    return px.withColumn("ty", near("y", tile_y or tile)).withColumn("tx", near("x", tile))
 
 
 def crop(px: DataFrame, y0: int, x0: int, height: int, width: int) -> DataFrame:

@@ -520,4 +520,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(TWINS)
 
 
-from . import algebra, filters, photogrammetry  # noqa: E402, F401  # they add their queries and twins
+from . import algebra, filters, photogrammetry, terrain  # noqa: E402, F401  # they add their queries and twins
