@@ -55,6 +55,7 @@ class Features(dict):
 
     def __init__(self, active: bytes | None = None):
         self.active = active
+        self.counts = self.last = None  # scratch, made when first used
 
     def __missing__(self, word: str) -> bytes:
         found = word_buckets(word)
@@ -64,7 +65,8 @@ class Features(dict):
         self[word] = got = np.fromiter(found, np.uint32, len(found)).tobytes() if found else b""
         return got
 
-    def of_text(self, text: str | None) -> np.ndarray:
+    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of a text, each once, and how often they come."""
         words = Counter(WORDS.findall(text.lower())) if text else {}
         each = []
         for some in batched(words, WORDS_AT_ONCE):
@@ -72,9 +74,18 @@ class Features(dict):
                 self.clear()
             each += map(self.__getitem__, some)
         flat = np.frombuffer(b"".join(each), np.uint32)
-        times = np.repeat(np.fromiter(words.values(), np.int64, len(each)), np.fromiter(map(len, each), np.int64, len(each)) // 4)
-        bucket, where = np.unique(flat, return_inverse=True)
-        count = np.bincount(where, times, len(bucket))
+        times = np.repeat(np.fromiter(words.values(), np.int32, len(each)), np.fromiter(map(len, each), np.int64, len(each)) // 4)
+        if self.counts is None:
+            self.counts, self.last = np.zeros(1 << HASH_BITS, np.int32), np.zeros(1 << HASH_BITS, np.int32)
+        place = np.arange(len(flat), dtype=np.int32)
+        self.counts[flat] = 0  # only what this text touches
+        np.add.at(self.counts, flat, times)
+        self.last[flat] = place
+        bucket = flat[self.last[flat] == place]
+        return bucket, self.counts[bucket]
+
+    def of_text(self, text: str | None) -> np.ndarray:
+        bucket, count = self.counted(text)
         return np.concatenate([bucket[count >= least] | np.uint32(k << HASH_BITS) for k, least in enumerate(LEVELS)])
 
 
@@ -98,9 +109,12 @@ class Model:
         active = np.zeros(1 << HASH_BITS, bool)
         active[self.features & ((1 << HASH_BITS) - 1)] = True
         features = Features(active.tobytes())  # bytes are the fastest to index one at a time
+        summed = np.cumsum(weight.reshape(len(LEVELS), -1), axis=0, dtype=np.float64).astype(np.float32).ravel()  # of all levels up to each
+        level = np.searchsorted(LEVELS, np.arange(LEVELS[-1] + 1), side="right").astype(np.int64) - 1 << HASH_BITS
 
         def score(text: str | None) -> float:
-            z = self.bias + float(weight[features.of_text(text)].sum(dtype=np.float64))
+            bucket, count = features.counted(text)
+            z = self.bias + float(summed[level[np.minimum(count, LEVELS[-1])] | bucket].sum(dtype=np.float64))
             return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
         return score
