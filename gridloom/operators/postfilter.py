@@ -7,13 +7,12 @@ definition under that name and is refused.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import treefilter
 from .raster import deal
 
 STRIP_CELLS = 1 << 22
@@ -92,38 +91,10 @@ def local_patch(z: np.ndarray, c: np.ndarray, r: int, wc: float, wd: float, wz:
     return np.linalg.solve(m, np.moveaxis(q, 0, -1)[..., None])[..., 0, 0]
 
 
-def tree_filter(z: np.ndarray, c: np.ndarray, sigma: float) -> np.ndarray:
-    """Weighted mean over all pixels, weights exp(-path length / sigma) on the minimum spanning tree of colour differences."""
-    h, w = z.shape
-    flat, n = c.ravel(), h * w
-    parent, dist, order, seen, heap = np.full(n, -1), np.zeros(n), [], np.zeros(n, bool), [(0.0, 0, -1)]
-    while heap:
-        d, i, p = heapq.heappop(heap)
-        if seen[i]:
-            continue
-        seen[i], parent[i], dist[i] = True, p, d
-        order.append(i)
-        y, x = divmod(i, w)
-        for j in (i - w if y else -1, i + w if y + 1 < h else -1, i - 1 if x else -1, i + 1 if x + 1 < w else -1):
-            if j >= 0 and not seen[j]:
-                heapq.heappush(heap, (abs(flat[i] - flat[j]), j, i))
-    s = np.exp(-dist / sigma)
-    out = []
-    for value in (z.ravel().astype(float), np.ones(n)):
-        up = value.copy()
-        for i in reversed(order[1:]):
-            up[parent[i]] += s[i] * up[i]
-        whole = up.copy()
-        for i in order[1:]:
-            whole[i] = up[i] + s[i] * (whole[parent[i]] - s[i] * up[i])
-        out.append(whole)
-    return (out[0] / out[1]).reshape(h, w)
-
-
 def apply(dsm: DataFrame, guide: DataFrame, method: str, radius: int = 12, iterations: int = 5, tile: int = 1000, tile_y: int | None = None, sigma_c: float = 10.0, sigma_d: float = 5.0, sigma_z: float = 1.0, weights: tuple[float, float, float] = (0.3, 0.3, 0.6), eps: float = 1e-2) -> DataFrame:
     """Filtered DSM (y, x, v); ``guide`` has a value for the same pixels. Holes get no value.
 
-    The tree filter couples all pixels of a tile, so there its result depends on the tiling.
+    The tree filter has an operator of its own, as its tree covers the whole raster.
     """
     method = ALIASES.get(method, method)
     if method not in METHODS:
@@ -133,8 +104,9 @@ def apply(dsm: DataFrame, guide: DataFrame, method: str, radius: int = 12, itera
         "guided_image": lambda z, c: guided_image(z, c, radius, eps),
         "guided_median": lambda z, c: guided_median(z, c, radius, sigma_c),
         "local_patch": lambda z, c: local_patch(z, c, radius, *weights, sigma_c, sigma_d, sigma_z),
-        "tree_filter": lambda z, c: tree_filter(z, c, sigma_c),
     }
+    if method == "tree_filter":
+        return treefilter.tree_filter(dsm, guide, sigma_c, iterations, tile)
     step, halo = steps[method], iterations * radius * (2 if method == "guided_image" else 1)
     both = dsm.filter("v is not null").join(guide.select("y", "x", F.col("v").alias("c")), ["y", "x"])
 
@@ -144,8 +116,6 @@ def apply(dsm: DataFrame, guide: DataFrame, method: str, radius: int = 12, itera
         z, c = np.full((y.max() + 1, x.max() + 1), np.nan), np.full((y.max() + 1, x.max() + 1), np.nan)
         z[y, x], c[y, x] = pdf["v"], pdf["c"]
         hole = np.isnan(z)
-        if method == "tree_filter":
-            z, c = np.where(hole, np.nanmean(z), z), np.where(hole, np.nanmean(c), c)
         for _ in range(iterations):
             z = np.where(hole, np.nan, step(z, c))
         own = (pdf["y"] // (tile_y or tile) == ty) & (pdf["x"] // tile == tx)

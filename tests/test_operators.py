@@ -199,10 +199,10 @@ def test_filter_names(spark):
     assert postfilter.apply(px, px, "patch_filtering", radius=1, iterations=1).count() == 4
 
 
-def test_tree_filter_is_a_weighted_mean():
-    z, c = np.array([[1.0, 5.0]]), np.array([[0.0, 2.0]])
+def test_tree_filter_is_a_weighted_mean(spark):
+    z, c = pixels(spark, [[1.0, 5.0]]), pixels(spark, [[0.0, 2.0]])
     w = math.exp(-2)
-    assert np.allclose(postfilter.tree_filter(z, c, 1.0), [[(1 + 5 * w) / (1 + w), (5 + w) / (1 + w)]])
+    assert np.allclose(grid(postfilter.apply(z, c, "tree_filter", iterations=1, sigma_c=1.0), 1, 2), [[(1 + 5 * w) / (1 + w), (5 + w) / (1 + w)]])
 
 
 def test_box_sum_of_sparse_pixels(spark):
