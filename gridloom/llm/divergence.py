@@ -50,28 +50,32 @@ def folded(text: str | None) -> bytes:
     return text.encode().translate(FOLDED) if text else b""
 
 
-def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _document_frequencies(partial: int):
     """(lang, term, documents that have it), partly summed."""
-    counts: dict[str, Counter] = defaultdict(Counter)
-    most = 0  # entries at most
-
-    def rows() -> Iterator[pa.RecordBatch]:
-        for lang, c in counts.items():
-            terms = pa.array([t.decode() for t in c], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), terms, pa.array(c.values(), pa.int64())], ["lang", "term", "docs"])
-        counts.clear()
-
-    for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-            terms = set(folded(text.as_py()).split())
-            counts[lang].update(terms)
-            most += len(terms)
-            if most > PARTIAL_TERMS:
-                most = sum(map(len, counts.values()))
-                if most > PARTIAL_TERMS // 2:
-                    yield from rows()
-                    most = 0
-    yield from rows()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = defaultdict(Counter)
+        most = 0  # entries at most
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lang, c in counts.items():
+                terms = pa.array([t.decode() for t in c], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), terms, pa.array(c.values(), pa.int64())], ["lang", "term", "docs"])
+            counts.clear()
+
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+                terms = set(folded(text.as_py()).split())
+                counts[lang].update(terms)
+                most += len(terms)
+                if most > partial:
+                    most = sum(map(len, counts.values()))
+                    if most > partial // 2:
+                        yield from rows()
+                        most = 0
+        yield from rows()
+
+    return run
 
 
 class Vocabulary:
@@ -96,7 +100,7 @@ class Vocabulary:
         return np.array([k for _, k in self.automaton().iter(f" {folded(text).decode()} ")], np.int64)
 
 
-def _occurrences(sent, offset: int):
+def _occurrences(sent, offset: int, partial: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, found, total = sent.value, defaultdict(list), 0
 
@@ -112,7 +116,7 @@ def _occurrences(sent, offset: int):
                 if len(got):
                     found[lang, source].append(got)
                     total += len(got)
-                if total > PARTIAL_MATCHES:
+                if total > partial:
                     yield from rows()
                     total = 0
         yield from rows()
@@ -131,7 +135,7 @@ def permille(count: Column, total: Column) -> Column:
 
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, shard: int = SHARD) -> tuple[DataFrame, int]:
     """(lang, term, id of the kept terms, number of shards); an id is the shard's number times 2**32 plus a number in it."""
-    counted = docs.select("lang", "text").mapInArrow(_document_frequencies, "lang string, term string, docs long")
+    counted = docs.select("lang", "text").mapInArrow(_document_frequencies(PARTIAL_TERMS), "lang string, term string, docs long")
     kept = save(counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs), "kept-terms")
     distinct = kept.select("term").distinct()
     shards = -(-distinct.count() // shard)
@@ -147,7 +151,7 @@ def occurrences(docs: DataFrame, kept: DataFrame, shards: int) -> DataFrame:
     for k in range(shards):
         terms = kept.filter(F.shiftright("id", 32) == k).select("id", "term").distinct().orderBy("id").select("term").toArrow().column("term").to_pylist()  # about SHARD at most
         sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(terms))
-        counted = docs.mapInArrow(_occurrences(sent, k << 32), "lang string, source string, id long, n long")
+        counted = docs.mapInArrow(_occurrences(sent, k << 32, PARTIAL_MATCHES), "lang string, source string, id long, n long")
         parts.append(save(counted.groupBy("lang", "source", "id").agg(F.sum("n").alias("n")), "term-counts"))
         sent.destroy()
     found = parts[0] if parts else docs.select("lang", "source", F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("n")).limit(0)
@@ -157,21 +161,26 @@ def occurrences(docs: DataFrame, kept: DataFrame, shards: int) -> DataFrame:
     return save(found.join(kept, ["lang", "id"]).select("lang", "source", "id", "term", "n"), "postings")
 
 
-def _distances(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _distances(tile: int):
     """Sums of abs(p - q) - abs(p0 - q0) for the pairs of two tiles (or one) over a block of terms."""
-    lang, _, first, second = key
-    own = pdf.groupby("no", sort=True)["p0"].first()
-    base, place = own.to_numpy(), {n: i for i, n in enumerate(own.index)}
-    some = pdf[pdf["id"].notna()]
-    ids, column = np.unique(some["id"].to_numpy(np.int64), return_inverse=True)
-    p = np.repeat(base[:, None], max(1, len(ids)), axis=1)
-    p[[place[n] for n in some["no"]], column] = some["p"].to_numpy(np.int64)
-    numbers, rows = own.index.to_numpy(), []
-    for i in np.flatnonzero(numbers // TILE == first):
-        others = np.flatnonzero((numbers // TILE == second) & (numbers > numbers[i]))
-        total = (np.abs(p[others] - p[i]) - np.abs(base[others] - base[i])[:, None]).sum(axis=1)
-        rows.append(pd.DataFrame({"lang": lang, "a": numbers[i], "b": numbers[others], "part": total}))
-    return pd.concat(rows) if rows else pd.DataFrame({"lang": [], "a": [], "b": [], "part": []})
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        lang, _, first, second = key
+        own = pdf.groupby("no", sort=True)["p0"].first()
+        base, place = own.to_numpy(), {n: i for i, n in enumerate(own.index)}
+        some = pdf[pdf["id"].notna()]
+        ids, column = np.unique(some["id"].to_numpy(np.int64), return_inverse=True)
+        p = np.repeat(base[:, None], max(1, len(ids)), axis=1)
+        p[[place[n] for n in some["no"]], column] = some["p"].to_numpy(np.int64)
+        numbers, found = own.index.to_numpy(), [np.zeros((3, 0), np.int64)]
+        for i in np.flatnonzero(numbers // tile == first):
+            others = np.flatnonzero((numbers // tile == second) & (numbers > numbers[i]))
+            total = (np.abs(p[others] - p[i]) - np.abs(base[others] - base[i])[:, None]).sum(axis=1)
+            found.append(np.stack([np.full(len(others), numbers[i]), numbers[others], total]))
+        one, other, part = np.concatenate(found, axis=1)
+        return pd.DataFrame({"lang": pd.Series([lang] * len(part), dtype=object), "a": one, "b": other, "part": part})
+
+    return run
 
 
 def _pairs(postings: DataFrame, groups: DataFrame) -> DataFrame:
@@ -183,7 +192,7 @@ def _pairs(postings: DataFrame, groups: DataFrame) -> DataFrame:
     own = F.floor(F.col("no") / TILE).cast("int")
     met = rows.unionByName(none).withColumn("other", F.explode(F.sequence(F.lit(0), tiles)))
     met = met.select("lang", "block", F.least(own, "other").alias("first"), F.greatest(own, "other").alias("second"), "no", "p0", "id", "p")
-    sums = met.groupBy("lang", "block", "first", "second").applyInPandas(_distances, "lang string, a long, b long, part long").groupBy("lang", "a", "b").agg(F.sum("part").alias("part"))
+    sums = met.groupBy("lang", "block", "first", "second").applyInPandas(_distances(TILE), "lang string, a long, b long, part long").groupBy("lang", "a", "b").agg(F.sum("part").alias("part"))
     side = lambda x: groups.select("lang", F.col("no").cast("long").alias(x), F.col("source").alias(f"{x}_source"), F.col("p0").alias(f"{x}_p0"), *(["v"] if x == "a" else []))
     both = sums.join(side("a"), ["lang", "a"]).join(side("b"), ["lang", "b"])
     value = F.col("v") * F.abs(F.col("a_p0") - F.col("b_p0")) + F.col("part")

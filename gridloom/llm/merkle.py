@@ -213,3 +213,28 @@ def audit(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """The manifest, with the text of every document whose crc32(doc_id) 3 divides in lower case (A-Z only) as tampering."""
     found = manifest(docs, {"text": F.translate("text", UPPER, LOWER)}, remainder_is(F.col("doc_id"), 3, 0), crowd=crowd)
     return found.drop("grp")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, n_chars::VARCHAR AS n_chars, text, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g,
+  doc_id IS NOT NULL AND coalesce(xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)))::BIGINT[],
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295), 1) % 3 = 0 AS bad FROM documents),
+h AS (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars) || ':' || n_chars, '-') AS head,
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM d),
+l AS (SELECT r, doc_id, g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, CASE WHEN bad THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS own FROM h),
+leaf AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM l),
+node AS (SELECT g, 0 AS lvl, i, leaf AS h, n FROM leaf UNION ALL SELECT g, lvl + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM node WHERE n > 1 GROUP BY g, lvl, i // 8, n),
+sub AS (SELECT g, h AS subroot FROM node WHERE n = 1),
+top AS (SELECT 0 AS lvl, g AS i, subroot AS h, (SELECT count(*) FROM sub) AS n FROM sub UNION ALL SELECT lvl + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM top WHERE n > 1 GROUP BY lvl, i // 8, n),
+every AS (SELECT g, lvl, i, h FROM node WHERE n > 1 UNION ALL SELECT -1, lvl, i, h FROM top WHERE n > 1),
+sib AS (SELECT a.g, a.lvl, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM every a JOIN every b ON a.g = b.g AND a.lvl = b.lvl AND a.i // 8 = b.i // 8 GROUP BY ALL),
+step AS (SELECT leaf.r AS row, sib.lvl AS k, sib.l, sib.r FROM leaf JOIN sib ON sib.g = leaf.g AND sib.i = leaf.i // (8 ** sib.lvl)::BIGINT
+  UNION ALL SELECT leaf.r, 100 + sib.lvl, sib.l, sib.r FROM leaf JOIN sib ON sib.g = -1 AND sib.i = leaf.g // (8 ** sib.lvl)::BIGINT),
+numbered AS (SELECT row, l, r, row_number() OVER (PARTITION BY row ORDER BY k) AS k FROM step),
+fold AS (SELECT r AS row, 1 AS k, coalesce(own, leaf) AS h FROM leaf UNION ALL SELECT row, fold.k + 1, sha256(l || h || r) FROM fold JOIN numbered USING (row, k)),
+done AS (SELECT row, arg_max(h, k) AS folded_root FROM fold GROUP BY row),
+proof AS (SELECT row, sha256(string_agg(l || r, '' ORDER BY k)) AS proof FROM numbered GROUP BY row)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaf JOIN sub USING (g) JOIN done ON done.row = leaf.r LEFT JOIN proof ON proof.row = leaf.r, (SELECT h AS root FROM top WHERE n = 1)
+"""

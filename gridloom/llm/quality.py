@@ -55,7 +55,7 @@ def _class(c: str) -> int:
     return SYMBOL if c in SYMBOLS or unicodedata.category(c)[0] not in "PM" else MARK
 
 
-CLASS = np.array([_class(chr(i)) for i in range(1 << 16)] + [SYMBOL, LOWER], np.uint8)  # the last two: planes 1, and 2 on
+CLASS = np.array([_class(chr(i)) for i in range(1 << 17)] + [LOWER], np.uint8)  # the last: planes 2 on, which hold ideographs
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 
 
@@ -97,7 +97,7 @@ def pieces(text: str) -> Iterator[str]:
 def words_of(piece: str) -> tuple[np.ndarray, ...]:
     """(character counts by class, line breaks; then for each word: hash, length, line, letters, upper, symbols, its first is upper, its last ends a sentence)."""
     u = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
-    kind = CLASS[np.where(u < 1 << 16, u, np.where(u < 1 << 17, 1 << 16, (1 << 16) + 1))]
+    kind = CLASS[np.minimum(u, 1 << 17)]
     filled = np.concatenate(([0], (kind > BREAK).astype(np.int8), [0]))
     step = np.diff(filled)
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)

@@ -84,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_rules": line_rules.ORACLE_SQL, "op11_divergence": divergence.ORACLE_SQL}
+    return {"op5_line_rules": line_rules.ORACLE_SQL, "op11_divergence": divergence.ORACLE_SQL, "op12_merkle": merkle.ORACLE_SQL}
