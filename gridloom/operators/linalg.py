@@ -231,7 +231,10 @@ def conjugate_gradient(m: DataFrame, b: DataFrame, steps: int = 25, tolerance: f
         if not rz or rz <= tolerance * tolerance * first:
             break
         with_q = _applied(m, state, "p", "q")
-        alpha = rz / _sums(with_q, "p q")[0]
+        curve = _sums(with_q, "p q")[0]
+        if curve <= 0:
+            break
+        alpha = rz / curve
         moved = with_q.select("i", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("q")).alias("r"), "d", "p").withColumn("z", F.col("r") / F.col("d"))
         new, rr = _sums(moved, "r z", "r r")
         beta, rz = new / rz, new
@@ -240,26 +243,41 @@ def conjugate_gradient(m: DataFrame, b: DataFrame, steps: int = 25, tolerance: f
 
 
 def bicgstab(m: DataFrame, b: DataFrame, steps: int = 25, tolerance: float = 1e-10) -> DataFrame:
-    """As :func:`conjugate_gradient`, for any square matrix with a diagonal."""
-    state = _system(m, b).select("i", F.lit(0.0).alias("x"), F.col("b").alias("r"), F.col("b").alias("shadow"), F.lit(0.0).alias("p"), F.lit(0.0).alias("v"), "d")
-    rho = alpha = omega = 1.0
-    new, size = _sums(state, "shadow r", "r r")
-    rr = size
+    """As :func:`conjugate_gradient`, for any square matrix with a diagonal.
+
+    Where the recurrence breaks down, it begins anew from the residual r, with a shadow that is orthogonal neither to r nor to the
+    direction's image v: r / abs(r) plus or minus v / abs(v). If v is 0, m is singular there, and the steps end.
+    """
+    state = save(_system(m, b).select("i", F.lit(0.0).alias("x"), F.col("b").alias("r"), F.col("b").alias("shadow"), F.lit(0.0).alias("p"), F.lit(0.0).alias("v"), "d"), "krylov")
+    (size,) = _sums(state, "r r")
+    rr, rho, alpha, omega, fresh = size, size, 1.0, 1.0, True
     for _ in range(steps):
-        if not new or rr <= tolerance * tolerance * size:
+        if rr <= tolerance * tolerance * size:
             break
-        beta, rho = (new / rho) * (alpha / omega), new
-        state = state.withColumn("p", F.col("r") + beta * (F.col("p") - omega * F.col("v"))).withColumn("y", F.col("p") / F.col("d")).drop("v")
-        state = _applied(m, state, "y", "v")
-        alpha = rho / _sums(state, "shadow v")[0]
+        if fresh:
+            state = state.withColumn("p", F.col("r")).withColumn("shadow", F.col("r"))
+        state = _applied(m, state.withColumn("y", F.col("p") / F.col("d")).drop("v"), "y", "v")
+        vv, ss, rv, sv = _sums(state, "v v", "shadow shadow", "r v", "shadow v")
+        if fresh and vv and abs(sv) <= 1e-8 * np.sqrt(ss * vv):
+            state = save(state.withColumn("shadow", F.col("r") / float(np.sqrt(rr)) + F.col("v") / float(np.copysign(np.sqrt(vv), rv))), "krylov")
+            sv, ss = _sums(state, "shadow v", "shadow shadow")
+        if fresh:
+            (rho,) = _sums(state, "shadow r")
+        if abs(sv) <= 1e-14 * np.sqrt(ss * vv):
+            if fresh:
+                break  # v is 0
+            fresh = True
+            continue
+        alpha = rho / sv
         state = _applied(m, state.withColumn("s", F.col("r") - alpha * F.col("v")).withColumn("z", F.col("s") / F.col("d")), "z", "t")
         tt, ts = _sums(state, "t t", "t s")
         omega = ts / tt if tt else 0.0
-        state = state.select("i", (F.col("x") + alpha * F.col("y") + omega * F.col("z")).alias("x"), (F.col("s") - omega * F.col("t")).alias("r"), "shadow", "p", "v", "d")
-        state = save(state, "krylov")
-        new, rr = _sums(state, "shadow r", "r r")
-        if not omega:
-            break
+        state = save(state.select("i", (F.col("x") + alpha * F.col("y") + omega * F.col("z")).alias("x"), (F.col("s") - omega * F.col("t")).alias("r"), "shadow", "p", "v", "d"), "krylov")
+        new, rr, ss = _sums(state, "shadow r", "r r", "shadow shadow")
+        fresh = not omega or abs(new) <= 1e-14 * np.sqrt(ss * rr)
+        if not fresh:
+            beta, rho = (new / rho) * (alpha / omega), new
+            state = state.withColumn("p", F.col("r") + beta * (F.col("p") - omega * F.col("v")))
     return state.select("i", F.col("x").alias("v"), F.lit(float(np.sqrt(rr / size)) if size else 0.0).alias("residual"))
 
 
