@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import batched
@@ -51,17 +52,18 @@ def word_buckets(word: str) -> set[int]:
 
 
 class Features(dict):
-    """Features (level << HASH_BITS | bucket) of texts; a bounded memo of words' buckets. Only buckets of ``active`` if given."""
+    """Features (level << HASH_BITS | bucket) of texts; a bounded memo of words' buckets. If ``number`` is given, those without one are left out
+    and the others go by it, so that all tables are as small as the model."""
 
-    def __init__(self, active: bytes | None = None):
-        self.active = active
+    def __init__(self, number: array | None = None, size: int = 1 << HASH_BITS):
+        self.number, self.size = number, size
         self.counts = self.last = None  # scratch, made when first used
 
     def __missing__(self, word: str) -> bytes:
         found = word_buckets(word)
-        if self.active is not None:
-            active = self.active
-            found = [b for b in found if active[b]]
+        if self.number is not None:
+            number = self.number
+            found = [k for b in found if (k := number[b]) >= 0]
         self[word] = got = np.fromiter(found, np.uint32, len(found)).tobytes() if found else b""
         return got
 
@@ -76,7 +78,7 @@ class Features(dict):
         flat = np.frombuffer(b"".join(each), np.uint32)
         times = np.repeat(np.fromiter(words.values(), np.int32, len(each)), np.fromiter(map(len, each), np.int64, len(each)) // 4)
         if self.counts is None:
-            self.counts, self.last = np.zeros(1 << HASH_BITS, np.int32), np.zeros(1 << HASH_BITS, np.int32)
+            self.counts, self.last = np.zeros(self.size, np.int32), np.zeros(self.size, np.int32)
         place = np.arange(len(flat), dtype=np.int32)
         self.counts[flat] = 0  # only what this text touches
         np.add.at(self.counts, flat, times)
@@ -104,17 +106,19 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "kept"}
 
     def _scorer(self):
-        weight = np.zeros(len(LEVELS) << HASH_BITS, np.float32)
-        weight[self.features] = self.weights
-        active = np.zeros(1 << HASH_BITS, bool)
-        active[self.features & ((1 << HASH_BITS) - 1)] = True
-        features = Features(active.tobytes())  # bytes are the fastest to index one at a time
-        summed = np.cumsum(weight.reshape(len(LEVELS), -1), axis=0, dtype=np.float64).astype(np.float32).ravel()  # of all levels up to each
-        level = np.searchsorted(LEVELS, np.arange(LEVELS[-1] + 1), side="right").astype(np.int64) - 1 << HASH_BITS
+        bucket, level = self.features & ((1 << HASH_BITS) - 1), self.features >> HASH_BITS
+        used, place = np.unique(bucket, return_inverse=True)
+        number = np.full(1 << HASH_BITS, -1, np.int32)
+        number[used] = np.arange(len(used))
+        weight = np.zeros((len(LEVELS), len(used)))
+        weight[level, place] = self.weights
+        summed = np.cumsum(weight, axis=0).astype(np.float32).ravel()  # of all levels up to each
+        features = Features(array("i", number.tobytes()), len(used))
+        upto = (np.searchsorted(LEVELS, np.arange(LEVELS[-1] + 1), side="right") - 1) * len(used)  # by count, from 1 on
 
         def score(text: str | None) -> float:
             bucket, count = features.counted(text)
-            z = self.bias + float(summed[level[np.minimum(count, LEVELS[-1])] | bucket].sum(dtype=np.float64))
+            z = self.bias + float(summed[upto[np.minimum(count, LEVELS[-1])] + bucket].sum(dtype=np.float64))
             return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
         return score
