@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import geodesy, geometry, special, xmltext
-from ..operators import corners, linalg, raster, sensor
+from ..operators import corners, linalg, raster, sensor, spectral
 from ..sources import files
 from . import views as V
 from .registry import query, rounded
@@ -377,3 +377,18 @@ def unsigned_attributes(s, d):
 
 
 twin("unsigned_attributes", "", "SELECT o_orderkey, CASE WHEN v BETWEEN 0 AND 4294967295 THEN v WHEN v BETWEEN -2147483648 AND -1 THEN v + 4294967296 END AS v, CASE WHEN v BETWEEN -2147483648 AND 2147483647 THEN v::INT END AS w FROM (SELECT o_orderkey, o_orderkey * 2000003 - 3000000000 AS v FROM orders)")
+
+
+@query
+def largest_singular_triple(s, d):
+    """Largest singular value of suppliers over parts with its left vector; the twin iterates with the Gramian of the rows."""
+    values, left, _ = spectral.singular_triples(V.coo(s, d), 1, extra=9, rounds=6)
+    return rounded(left.select("i", "v", F.lit(values[0]).alias("value")), 4)
+
+
+twin(
+    "largest_singular_triple", "coo", f"SELECT i, {r('v', 'v', 4)}, {r('(SELECT sqrt(sum(p.v * g.v * q.v)) FROM g JOIN u p ON p.i = g.i JOIN u q ON q.i = g.k)', 'value', 4)} FROM u",
+    "m AS (SELECT i, j, sum(v) AS v FROM coo GROUP BY i, j), g AS MATERIALIZED (SELECT a.i, b.i AS k, sum(a.v * b.v) AS v FROM m a JOIN m b USING (j) GROUP BY a.i, b.i), "
+    "x AS (SELECT 0 AS t, i, 1.0::DOUBLE AS v FROM (SELECT DISTINCT i FROM m) UNION ALL SELECT t + 1, g.i, sum(g.v * x.v) / sqrt(sum(pow(sum(g.v * x.v), 2)) OVER ()) FROM x JOIN g ON g.k = x.i WHERE t < 60 GROUP BY t, g.i), "
+    "u AS MATERIALIZED (SELECT i, v FROM x WHERE t = 60)", recursive=True,
+)

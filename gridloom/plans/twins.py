@@ -16,9 +16,9 @@ def r(expression: str, name: str, digits: int = 6) -> str:
     return f"round({expression}, {digits}) + 0.0 AS {name}"
 
 
-def twin(name: str, views: str, body: str, more: str = "") -> None:
+def twin(name: str, views: str, body: str, more: str = "", recursive: bool = False) -> None:
     with_ = ", ".join([*[SQL[v] for v in views.split()], *([more] if more else [])])
-    TWINS[name] = f"WITH {with_} {body}" if with_ else body
+    TWINS[name] = f"WITH {'RECURSIVE ' * recursive}{with_} {body}" if with_ else body
 
 
 OFFSETS = "off AS (SELECT dy, dx FROM (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx))"
