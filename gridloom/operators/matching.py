@@ -19,6 +19,8 @@ from ..sources.storage import save
 from .focal import SQUARE9, gather, gradient, laplacian
 from .linalg import inverse2
 
+METRES = 111_320.0  # of a degree of latitude, and of longitude on the equator
+
 
 def intensity_coefficients(one: DataFrame, two: DataFrame) -> DataFrame:
     """a, b that give image two the mean and deviation of image one; population variances."""
@@ -257,6 +259,20 @@ def median_outliers(points: DataFrame, value: str, k: float, *by: str) -> DataFr
     return d.join(s, list(by)).withColumn("inlier", F.col("_d") <= k * F.col("_s")).drop("_m", "_d", "_s")
 
 
+def place_outliers(points: DataFrame, k: float, *by: str) -> DataFrame:
+    """``points`` (lat, lon, height and keys) with column inlier: no farther, in metres, from the group's median place than k times
+    the median of those distances. Longitudes are taken from the group's westernmost one, so a group may lie across the date line;
+    a NULL coordinate makes inlier NULL."""
+    west = points.groupBy(*by).agg(F.min("lon").alias("_w"))
+    at = points.join(west, list(by)).withColumn("_e", F.pmod(F.col("lon") - F.col("_w") + 180.0, F.lit(360.0)) - 180.0)
+    m = at.groupBy(*by).agg(F.median("lat").alias("_ml"), F.median("_e").alias("_me"), F.median("height").alias("_mh"))
+    north, east = (F.col("lat") - F.col("_ml")) * METRES, (F.col("_e") - F.col("_me")) * METRES * F.cos(F.radians("_ml"))
+    up = F.col("height") - F.col("_mh")
+    d = at.join(m, list(by)).withColumn("_d", F.sqrt(north * north + east * east + up * up))
+    s = d.groupBy(*by).agg(F.median("_d").alias("_s"))
+    return d.join(s, list(by)).withColumn("inlier", F.col("_d") <= k * F.col("_s")).drop("_w", "_e", "_ml", "_me", "_mh", "_d", "_s")
+
+
 def in_quad(x: Column, y: Column, corners: list[tuple[float, float]]) -> Column:
     """Whether a point lies in a convex quadrilateral, rim included."""
     signs = []

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.geodesy import zone_letter, zone_number
+
 #: schema of the filter project; attributes carry a leading underscore
 PROJECT = (
     "Output_Folder string, DSM_path string, Ortho_path string, Filtering_parameters struct<window_size:int,iteration_times:int,"
@@ -47,6 +49,26 @@ def read_kml_boxes(spark: SparkSession, path: str) -> DataFrame:
     return points.groupBy("path").agg(F.count("*").alias("points"), F.min("lon").alias("min_lon"), F.min("lat").alias("min_lat"), F.max("lon").alias("max_lon"), F.max("lat").alias("max_lat"), F.avg("height").alias("height"))
 
 
+def read_kml_polygons(spark: SparkSession, path: str) -> DataFrame:
+    """Every polygon of each file, numbered in file order: its vertices without the closing one, its box, mean height, the UTM zone of
+    the box's middle and, of quadrilaterals, the four corners. Vertices without two numbers are left out."""
+    texts = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    lists = F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<coordinates>\s*(.*?)\s*</coordinates>"), F.lit(1))).alias("polygon", "c")
+    number = lambda p, k: F.get(F.split(p, ","), F.lit(k)).try_cast("double")
+    vertex = F.transform(F.split("c", r"\s+"), lambda p: F.struct(number(p, 0).alias("lon"), number(p, 1).alias("lat"), number(p, 2).alias("height")))
+    rows = texts.select("path", lists).select("path", "polygon", F.filter(vertex, lambda p: p["lon"].isNotNull() & p["lat"].isNotNull()).alias("v"))
+    closed = (F.size("v") > 1) & F.get("v", F.lit(0)).eqNullSafe(F.get("v", F.size("v") - 1))
+    rows = rows.withColumn("v", F.when(closed, F.slice("v", F.lit(1), F.size("v") - 1)).otherwise(F.col("v")))
+    heights = F.filter(F.col("v.height"), lambda h: h.isNotNull())
+    mean = F.try_divide(F.aggregate(heights, F.lit(0.0), lambda s, h: s + h), F.size(heights).cast("double"))
+    rows = rows.select(
+        "path", "polygon", F.col("v").alias("vertices"), F.array_min("v.lon").alias("min_lon"), F.array_min("v.lat").alias("min_lat"), F.array_max("v.lon").alias("max_lon"), F.array_max("v.lat").alias("max_lat"),
+        mean.alias("height"), F.when(F.size("v") == 4, F.col("v")).alias("corners"),
+    )
+    lat, lon = (F.col("min_lat") + F.col("max_lat")) / 2, (F.col("min_lon") + F.col("max_lon")) / 2
+    return rows.withColumn("zone", F.concat(zone_number(lat, lon).cast("string"), zone_letter(lat)))
+
+
 def read_world_file(spark: SparkSession, path: str) -> DataFrame:
     """The six numbers of each world file, in file order."""
     v = F.split(F.trim("value"), r"\s+")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom import __main__ as cli
 from gridloom.functions import geodesy, xmltext
 from gridloom.operators import postfilter
-from gridloom.sources import files, storage
+from gridloom.sources import files, rasterfile, storage
 
 
 def test_settings(spark, tmp_path):
@@ -68,3 +68,29 @@ def test_command_line(spark, tmp_path):
     want = postfilter.apply(px, px.select("y", "x", (F.col("v") * 9).alias("v")), "bilateral", radius=2, iterations=1, tile=64, sigma_d=2.0)
     both = spark.read.parquet(f"{tmp_path}/out/filtered").join(want.withColumnRenamed("v", "w"), ["y", "x"])
     assert both.count() == 400 and both.agg(F.max(F.abs(F.col("v") - F.col("w")))).first()[0] < 1e-9
+
+
+def test_polygons(spark, tmp_path):
+    """Two polygons of a file stay two; a quadrilateral has corners, whether closed or not."""
+    text = "<kml><coordinates>\n 3,45,10 4,45,20 4,46,30 3,46,40 3,45,10 </coordinates><coordinates>9,60 x,1 10,61,5 9,62</coordinates><coordinates></coordinates></kml>"
+    (tmp_path / "a.kml").write_text(text)
+    a, b, c = files.read_kml_polygons(spark, str(tmp_path / "a.kml")).orderBy("polygon").collect()
+    assert [tuple(v) for v in a.corners] == [(3.0, 45.0, 10.0), (4.0, 45.0, 20.0), (4.0, 46.0, 30.0), (3.0, 46.0, 40.0)] == [tuple(v) for v in a.vertices]
+    assert (a.min_lon, a.min_lat, a.max_lon, a.max_lat, a.height, a.zone) == (3.0, 45.0, 4.0, 46.0, 25.0, "31T")
+    assert len(b.vertices) == 3 and b.corners is None and b.height == 5.0 and b.zone == "32V"
+    assert c.vertices == [] and c.zone is None and c.min_lon is None
+
+
+def test_project_over_raster_files(spark, tmp_path):
+    """A project whose model and image are raster files gives raster files; its tile's shape doesn't matter."""
+    px = [(y, x, float((y * 7 + x * 3) % 11)) for y in range(20) for x in range(15)]
+    for name in ("dsm", "ortho"):
+        rasterfile.write(spark.createDataFrame(px, "y long, x long, v double"), f"{tmp_path}/{name}", kind="float64", tile=8, transform=[5.0, 2.0, 0.0, 9.0, 0.0, -2.0])
+    got = []
+    for k, tile in enumerate(((5, 9), (1000, 1000))):
+        project = f'''<Main_prj_file><Output_Folder>{tmp_path}/out{k}</Output_Folder><DSM_path>{tmp_path}/dsm</DSM_path><Ortho_path>{tmp_path}/ortho</Ortho_path><Filtering_parameters><window_size>3</window_size><iteration_times>2</iteration_times><tile_size _tile_x_size="{tile[0]}" _tile_y_size="{tile[1]}" _overlap_size="1"></tile_size><filtering_methods>bilateral</filtering_methods><common_paras _Std_color="-1" _Std_distance="-1" _Std_disparity="-1"></common_paras><patch_filter_paras _color_weight="0.3" _distance_weight="0.3" _disparity_weight="0.6"></patch_filter_paras></Filtering_parameters></Main_prj_file>'''
+        (tmp_path / f"p{k}.xml").write_text(project)
+        cli.main(f"{tmp_path}/p{k}.xml", spark)
+        got.append(sorted((r.y, r.x, r.v) for r in rasterfile.read(spark, f"{tmp_path}/out{k}/filtered").collect()))
+    assert got[0] == got[1] and len(got[0]) == 300 and [r[:2] for r in got[0]] == sorted(r[:2] for r in px)
+    assert {tuple(r.transform) for r in rasterfile.headers(spark, f"{tmp_path}/out0/filtered").filter("y0 = 0").collect()} == {(5.0, 2.0, 0.0, 9.0, 0.0, -2.0)}
