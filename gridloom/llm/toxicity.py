@@ -41,6 +41,7 @@ DOCS_AT_ONCE = 500
 RIDGE = 1e-3
 THRESHOLD = 0.3
 MEMO_WORDS = 600_000
+LONG_TOKEN = 64  # characters from which a token isn't remembered as a whole, only its words
 WORDS_AT_ONCE = 100_000  # words by which the memo may outgrow that
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -52,24 +53,28 @@ def word_buckets(word: str) -> set[int]:
 
 
 class Features(dict):
-    """Features (level << HASH_BITS | bucket) of texts; a bounded memo of words' buckets. If ``number`` is given, those without one are left out
+    """Features (level << HASH_BITS | bucket) of texts; a bounded memo of tokens' buckets. If ``number`` is given, those without one are left out
     and the others go by it, so that all tables are as small as the model."""
 
     def __init__(self, number: array | None = None, size: int = 1 << HASH_BITS):
         self.number, self.size = number, size
         self.counts = self.last = None  # scratch, made when first used
 
-    def __missing__(self, word: str) -> bytes:
-        found = word_buckets(word)
+    def __missing__(self, token: str) -> bytes:
+        found = [b for word in WORDS.findall(token) for b in word_buckets(word)]
         if self.number is not None:
             number = self.number
             found = [k for b in found if (k := number[b]) >= 0]
-        self[word] = got = np.fromiter(found, np.uint32, len(found)).tobytes() if found else b""
+        self[token] = got = np.fromiter(found, np.uint32, len(found)).tobytes() if found else b""
         return got
 
     def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Buckets of a text, each once, and how often they come."""
-        words = Counter(WORDS.findall(text.lower())) if text else {}
+        words = Counter(text.lower().split()) if text else Counter()  # a token's words are looked for once; no word has white space
+        for token in [t for t in words if len(t) > LONG_TOKEN]:
+            n = words.pop(token)
+            for word in WORDS.findall(token):
+                words[word] += n
         each = []
         for some in batched(words, WORDS_AT_ONCE):
             if len(self) > MEMO_WORDS:
