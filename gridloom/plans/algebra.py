@@ -392,3 +392,24 @@ twin(
     "x AS (SELECT 0 AS t, i, 1.0::DOUBLE AS v FROM (SELECT DISTINCT i FROM m) UNION ALL SELECT t + 1, g.i, sum(g.v * x.v) / sqrt(sum(pow(sum(g.v * x.v), 2)) OVER ()) FROM x JOIN g ON g.k = x.i WHERE t < 60 GROUP BY t, g.i), "
     "u AS MATERIALIZED (SELECT i, v FROM x WHERE t = 60)", recursive=True,
 )
+
+
+@query
+def product_row_sums(s, d):
+    """Row sums of the whole product A'A of parts over suppliers; the twin takes A' times the row sums of A."""
+    a = linalg.from_triplets(V.coo(s, d))
+    return rounded(linalg.multiply(linalg.transpose(a), a).groupBy("i").agg(F.sum("v").alias("total"), F.count("*").alias("cells")), 4)
+
+
+twin(
+    "product_row_sums", "coo", f"SELECT t.i, {r('total', 'total', 4)}, cells FROM t JOIN n USING (i)",
+    "m AS (SELECT i, j, sum(v) AS v FROM coo GROUP BY i, j), t AS (SELECT m.j AS i, sum(m.v * w.s) AS total FROM m JOIN (SELECT i, sum(v) AS s FROM m GROUP BY i) w USING (i) GROUP BY m.j), "
+    "n AS (SELECT a.j AS i, count(DISTINCT b.j) AS cells FROM m a JOIN m b USING (i) GROUP BY a.j)",
+)
+
+#: the smallest number spreads along the links, a link a step; 40 steps are more than the longest way in these tables
+twin(
+    "connected_tracks_all", "", "SELECT node, m AS track FROM lab WHERE t = 40",
+    "e AS (SELECT o_custkey AS a, o_custkey + o_orderkey % 7 * 211 AS b FROM orders), w AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e), "
+    "lab AS (SELECT DISTINCT 0 AS t, a AS node, a AS m FROM w UNION ALL SELECT t + 1, w.a, min(lab.m) FROM lab JOIN w ON w.b = lab.node WHERE t < 40 GROUP BY t, w.a)", recursive=True,
+)
