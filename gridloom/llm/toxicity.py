@@ -17,10 +17,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import batched
+from itertools import batched, chain
 
 import numpy as np
 import pandas as pd
@@ -42,6 +41,7 @@ RIDGE = 1e-3
 THRESHOLD = 0.3
 MEMO_WORDS = 600_000
 LONG_TOKEN = 64  # characters from which a token isn't remembered as a whole, only its words
+TEXTS_AT_ONCE = 64  # whose tokens a scorer learns together
 WORDS_AT_ONCE = 100_000  # words by which the memo may outgrow that
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -52,33 +52,81 @@ def word_buckets(word: str) -> set[int]:
     return {zlib.crc32(w[4 * i : 4 * (i + k)]) & ((1 << HASH_BITS) - 1) for k in GRAMS for i in range(n - k + 1)}
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+CRC = _crc_table()
+
+
+def all_buckets(words: list[str], number: np.ndarray | None = None) -> list[bytes]:
+    """:func:`word_buckets` of each word, or what ``number`` makes of them (-1: left out), for all words at once: a
+    running crc32 from every character goes on by one character a step."""
+    raw = "".join(f" {w} " for w in words).encode("utf-32-le")
+    b, size = np.frombuffer(raw, np.uint8).reshape(-1, 4), np.fromiter(map(len, words), np.int64, len(words)) + 2
+    word, stop = np.repeat(np.arange(len(words)), size), np.repeat(np.cumsum(size), size)
+    at, state, keys = np.arange(len(b)), np.full(len(b), 0xFFFFFFFF, np.uint32), []
+    for k in range(1, max(GRAMS) + 1):
+        inside = at + k <= stop[at]
+        at, state = at[inside], state[inside]
+        for j in range(4):
+            state = CRC[(state ^ b[at + k - 1, j]) & 0xFF] ^ state >> 8
+        if k in GRAMS:
+            bucket = (~state & np.uint32((1 << HASH_BITS) - 1)).astype(np.int64)
+            bucket = bucket if number is None else number[bucket].astype(np.int64)
+            keys.append((word[at] << 32 | bucket)[bucket >= 0])
+    found = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+    ends = np.searchsorted(found, np.arange(1, len(words) + 1) << 32)
+    flat = (found & 0xFFFFFFFF).astype(np.uint32).tobytes()
+    return [flat[4 * lo : 4 * hi] for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
 class Features(dict):
     """Features (level << HASH_BITS | bucket) of texts; a bounded memo of tokens' buckets. If ``number`` is given, those without one are left out
     and the others go by it, so that all tables are as small as the model."""
 
-    def __init__(self, number: array | None = None, size: int = 1 << HASH_BITS):
+    def __init__(self, number: np.ndarray | None = None, size: int = 1 << HASH_BITS):
         self.number, self.size = number, size
         self.counts = self.last = None  # scratch, made when first used
 
-    def __missing__(self, token: str) -> bytes:
-        found = [b for word in WORDS.findall(token) for b in word_buckets(word)]
-        if self.number is not None:
-            number = self.number
-            found = [k for b in found if (k := number[b]) >= 0]
-        self[token] = got = np.fromiter(found, np.uint32, len(found)).tobytes() if found else b""
-        return got
-
-    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of a text, each once, and how often they come."""
-        words = Counter(text.lower().split()) if text else Counter()  # a token's words are looked for once; no word has white space
+    def learn(self, tokens: list[str]) -> None:
+        parts = [WORDS.findall(t) for t in tokens]
+        words = list(dict.fromkeys(w for p in parts for w in p))
+        known = dict(zip(words, all_buckets(words, self.number)))
+        for token, p in zip(tokens, parts):
+            self[token] = known[p[0]] if len(p) == 1 else b"".join(map(known.__getitem__, p))
+
+    @staticmethod
+    def tokens(text: str | None) -> Counter:
+        """How often each token comes; no word has white space, so a token's words are looked for once."""
+        words = Counter(text.lower().split()) if text else Counter()
         for token in [t for t in words if len(t) > LONG_TOKEN]:
             n = words.pop(token)
             for word in WORDS.findall(token):
                 words[word] += n
+        return words
+
+    def prepare(self, several: list[Counter]) -> None:
+        """Learn the tokens of several texts at once, which takes far less than one text at a time."""
+        if sum(map(len, several)) > WORDS_AT_ONCE:
+            return  # each text will do it, in parts
+        new = {t for words in several for t in words if t not in self}
+        if len(self) + len(new) > MEMO_WORDS:
+            self.clear()
+            new = {t for words in several for t in words}
+        self.learn(list(new))
+
+    def counted(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of a text's tokens, each once, and how often they come."""
         each = []
         for some in batched(words, WORDS_AT_ONCE):
             if len(self) > MEMO_WORDS:
                 self.clear()
+            if new := [t for t in some if t not in self]:
+                self.learn(new)
             each += map(self.__getitem__, some)
         flat = np.frombuffer(b"".join(each), np.uint32)
         times = np.repeat(np.fromiter(words.values(), np.int32, len(each)), np.fromiter(map(len, each), np.int64, len(each)) // 4)
@@ -92,7 +140,7 @@ class Features(dict):
         return bucket, self.counts[bucket]
 
     def of_text(self, text: str | None) -> np.ndarray:
-        bucket, count = self.counted(text)
+        bucket, count = self.counted(self.tokens(text))
         return np.concatenate([bucket[count >= least] | np.uint32(k << HASH_BITS) for k, least in enumerate(LEVELS)])
 
 
@@ -103,9 +151,13 @@ class Model:
         self.features, self.weights, self.bias = features, weights, bias
 
     def scorer(self):
-        """text -> probability; kept with the model, so that a worker's next task finds its words again."""
+        """text -> probability."""
+        return lambda text: self.scores([text])[0]
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        """Probabilities of texts; their tokens' buckets are kept with the model, so that a worker's next task finds them again."""
         self.kept = getattr(self, "kept", None) or self._scorer()
-        return self.kept
+        return self.kept(texts)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "kept"}
@@ -118,13 +170,19 @@ class Model:
         weight = np.zeros((len(LEVELS), len(used)))
         weight[level, place] = self.weights
         summed = np.cumsum(weight, axis=0).astype(np.float32).ravel()  # of all levels up to each
-        features = Features(array("i", number.tobytes()), len(used))
+        features = Features(number, len(used))
         upto = (np.searchsorted(LEVELS, np.arange(LEVELS[-1] + 1), side="right") - 1) * len(used)  # by count, from 1 on
 
-        def score(text: str | None) -> float:
-            bucket, count = features.counted(text)
-            z = self.bias + float(summed[upto[np.minimum(count, LEVELS[-1])] + bucket].sum(dtype=np.float64))
-            return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+        def score(texts: list[str | None]) -> list[float]:
+            out = []
+            for some in batched(texts, TEXTS_AT_ONCE):
+                tokens = [features.tokens(t) for t in some]
+                features.prepare(tokens)
+                for words in tokens:
+                    bucket, count = features.counted(words)
+                    z = self.bias + float(summed[upto[np.minimum(count, LEVELS[-1])] + bucket].sum(dtype=np.float64))
+                    out.append(float(1 / (1 + np.exp(-np.clip(z, -500, 500)))))
+            return out
 
         return score
 
@@ -226,9 +284,8 @@ def scorer(docs: DataFrame, model: Model):
 
     @F.arrow_udf("double")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        one = sent.value.scorer()
         for part in texts:
-            yield pa.array([one(t.as_py()) for t in part], pa.float64())
+            yield pa.array(chain.from_iterable(sent.value.scores([t.as_py() for t in part[k : k + TEXTS_AT_ONCE]]) for k in range(0, len(part), TEXTS_AT_ONCE)), pa.float64())
 
     return score
 
