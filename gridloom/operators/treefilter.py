@@ -236,9 +236,13 @@ def spanning_tree(guide: DataFrame, tile: int = TILE, merge: int = MERGE) -> Dat
 
 
 class Region:
-    """A region's forest: pixels or nodes with masses, edges with what their insides give, stubs that leave."""
+    """A region's forest: pixels or nodes with masses, edges with what their insides give, stubs that leave.
+
+    Rows are put in order first: a shuffle brings them in another order each time, and the way down must find the ends of
+    compressed edges as the way up left them."""
 
     def __init__(self, key, size: int, pdf: pd.DataFrame):
+        pdf = pdf.sort_values(["kind", "u", "v"])
         node, edge, stub = (pdf[pdf["kind"] == k] for k in (NODE, EDGE, STUB))
         u, v, w = (np.concatenate([edge[c], stub[c][:0]]) for c in ("u", "v", "w"))
         x, y, d = (stub[c].to_numpy() for c in ("u", "v", "w"))

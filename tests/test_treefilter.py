@@ -1,6 +1,7 @@
 """The tree filter in tiles against the definition on small rasters."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,25 @@ def test_rounds_on_a_long_chain():
     keep[[0, n // 2]] = True
     r = T.Rounds(n, np.arange(n - 1), np.arange(1, n), keep)
     assert len(r.alive) == 1 and r.left.sum() == 2 and len(r.steps) < 80
+
+
+def test_order_of_rows_changes_no_region():
+    """The skeleton's edges are found again when the rows of a region come in another order."""
+    z, c = made(1, 40, 40, 50, 0.0)
+    key, size, rows = (1, 1), 16, []
+    inside = lambda k: (k // T.WIDE // size, k % T.WIDE // size) == key
+    for y, x in np.argwhere(~np.isnan(z)):
+        if inside(y * T.WIDE + x):
+            rows.append(T._rows(kind=T.NODE, u=np.array([y * T.WIDE + x]), p=z[y, x], q=1.0))
+    for a, b, d in kruskal(c):
+        for u, v in ((a, b), (b, a)):
+            if inside(u) and (u < v or not inside(v)):
+                rows.append(T._rows(kind=T.EDGE if inside(v) else T.STUB, u=np.array([u]), v=np.array([v]), w=np.exp(-d / 10)))
+    pdf = pd.concat(rows, ignore_index=True)
+    up = T.Region(key, size, pdf).skeleton()
+    known = up[up["kind"].isin([T.NODE, T.EDGE])]
+    assert (known["kind"] == T.EDGE).sum() > 10
+    want = T.Region(key, size, pdf).solve(known)[0]
+    for seed in range(10):
+        region = T.Region(key, size, pdf.sample(frac=1, random_state=seed))
+        assert np.allclose(region.solve(known)[0], want)
