@@ -120,3 +120,20 @@ def test_descriptors(spark):
 def test_unknown_scores_are_refused(spark):
     with pytest.raises(ValueError, match="unsupported"):
         matching.window_score(spark.createDataFrame([], "v1 double, v2 double, c1 int, c2 int"), "hog")
+
+
+def test_places_are_traced_and_projected_by_compiled_code_or_batches(spark):
+    """No function of arrays is interpreted for each row; odd models have no place."""
+    one = camera(spark, range(5)).filter("image = 3").select("model")
+    m = F.col("model")
+    odd = {"whole": m, "none": F.when(m["line_off"] < 0, m), "short": m.withField("line_num", F.slice(m["line_num"], 1, 19)), "hole": m.withField("samp_den", F.transform(m["samp_den"], lambda v: F.nullif(v, F.lit(-0.002)))), "flat": m.withField("line_num", F.array_repeat(F.lit(0.0), 20)), "unset": m.withField("samp_off", F.lit(None).cast("double"))}
+    rows = one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("model")) for n, v in odd.items()])).alias("r")).select("r.*")
+    g = sensor.image_to_ground(m, F.lit(4000.0), F.lit(3000.0), F.lit(50.0))
+    line, samp = sensor.project(m, F.col("g.lat"), F.col("g.lon"), F.lit(50.0))
+    got = rows.withColumn("g", g).select("name", "g.lat", "g.lon", line.alias("line"), samp.alias("samp"))
+    found = {r.name: r for r in got.collect()}
+    assert len(found) == 6 and all((r.lat is None and r.lon is None and r.line is None) == (n != "whole") for n, r in found.items())
+    assert abs(found["whole"].line - 4000) < 1e-6 and abs(found["whole"].samp - 3000) < 1e-6
+    traced = camera(spark, range(5)).withColumn("g", sensor.image_to_ground(m, F.lit(4000.0), F.lit(3000.0), F.lit(50.0)))
+    line, samp = sensor.project(m, F.col("g.lat"), F.col("g.lon"), F.lit(50.0))
+    assert "lambdafunction" not in traced.select("image", line.alias("line"), samp.alias("samp"))._jdf.queryExecution().optimizedPlan().toString()
