@@ -15,6 +15,8 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -333,18 +335,60 @@ def inverse(m: DataFrame, *by: str) -> DataFrame:
     """Inverse (by, i, j, v) of each group's small square matrix; groups that are singular, not
     square or not finite have one row of NULLs. Missing entries are 0, repeated ones add up."""
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = sorted(set(pdf["i"])), sorted(set(pdf["j"]))
-        a = np.zeros((len(rows), len(cols)))
-        np.add.at(a, (np.searchsorted(rows, pdf["i"]), np.searchsorted(cols, pdf["j"])), pdf["v"].to_numpy(float))
-        head = {c: k for c, k in zip(by, key)}
-        if len(rows) != len(cols) or not np.isfinite(a).all() or np.linalg.matrix_rank(a) < len(rows):
-            return pd.DataFrame([head | {"i": None, "j": None, "v": None}]).astype({"i": "Int64", "j": "Int64", "v": "Float64"})
-        inv = np.linalg.inv(a)
-        return pd.DataFrame(head | {"i": np.repeat(cols, len(rows)), "j": np.tile(rows, len(cols)), "v": inv.ravel()})
-
-    kinds = ", ".join([*[f"{c} {dict(m.dtypes)[c]}" for c in by], "i long, j long, v double"])
-    return m.select(*by, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v")).groupBy(*by).applyInPandas(one, kinds)
+    cells = m.select(*by, F.struct(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v")).alias("c"))
+    rows = cells.groupBy(*by).agg(F.collect_list("c").alias("c")).select(*by, *[F.col(f"c.{n}").alias(f"_{n}") for n in "ijv"])  # a small matrix each
+    kinds = {c: dict(m.dtypes)[c] for c in by} | {"i": "long", "j": "long", "v": "double"}
+    return rows.mapInArrow(_inverses(list(by)), ", ".join(f"`{c}` {k}" for c, k in kinds.items()))
+
+
+def _inverses(by: list[str]):
+    """Groups (by, _i, _j, _v) of a batch; those of equal shape are inverted together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, j, v = (batch.column(f"_{n}") for n in "ijv")
+            of = np.repeat(np.arange(batch.num_rows), pc.list_value_length(i).to_numpy(zero_copy_only=False))
+            flat = v.flatten()
+            i, j, v, none = i.flatten(), j.flatten(), flat.to_numpy(zero_copy_only=False), flat.is_null().to_numpy(zero_copy_only=False)
+            lost = np.zeros(batch.num_rows, bool)
+            for n in (i, j):
+                lost[of[n.is_null().to_numpy(zero_copy_only=False)]] = True
+            row, rows, names_i = _ranks(of, pc.fill_null(i, 0).to_numpy(), batch.num_rows)
+            col, cols, names_j = _ranks(of, pc.fill_null(j, 0).to_numpy(), batch.num_rows)
+            lost |= rows != cols
+            lost[of[none]] = True
+            parts = []
+            for n in np.unique(rows[~lost]):
+                group = np.flatnonzero(~lost & (rows == n))
+                at = np.full(batch.num_rows, -1)
+                at[group] = np.arange(len(group))
+                mine = at[of] >= 0
+                a = np.zeros((len(group), n, n))
+                np.add.at(a, (at[of[mine]], row[mine], col[mine]), v[mine])
+                ok = np.isfinite(a).all(axis=(1, 2))
+                ok[ok] = np.linalg.matrix_rank(a[ok]) == n
+                lost[group[~ok]] = True
+                group, a = group[ok], np.linalg.inv(a[ok])
+                ri, cj = (names[np.add.outer(begin[group], np.arange(n))] for begin, names in (names_i, names_j))
+                parts.append((np.repeat(group, n * n), np.repeat(cj, n, axis=1).ravel(), np.tile(ri, (1, n)).ravel(), a.ravel()))
+            for group, x, y, values in parts:
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(group)) for c in by], pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(values, pa.float64())], [*by, "i", "j", "v"])
+            empty = np.flatnonzero(lost)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(empty)) for c in by], *[pa.nulls(len(empty), t) for t in (pa.int64(), pa.int64(), pa.float64())]], [*by, "i", "j", "v"])
+
+    return run
+
+
+def _ranks(of: np.ndarray, n: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Rank of each number among the different ones of its group, how many a group has, and where its begin in the sorted list."""
+    order = np.lexsort((n, of))
+    new = np.ones(len(n), bool)
+    new[1:] = (np.diff(of[order]) != 0) | (np.diff(n[order]) != 0)
+    count = np.bincount(of[order][new], minlength=groups)
+    begin = np.concatenate([[0], np.cumsum(count)[:-1]])
+    rank = np.empty(len(n), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rank - begin[of], count, (begin, n[order][new])
 
 
 # generators, slices and permutations

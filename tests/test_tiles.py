@@ -172,3 +172,21 @@ def test_orientation_of_points_in_one_place(spark):
     rows = [("one", 1.0, 2.0, 3.0, 4.0, 5.0, 6.0)] * 3 + [("none", None, 0.0, 0.0, 0.0, 0.0, 0.0)]
     got = linalg.absolute_orientation(spark.createDataFrame(rows, "k string, x double, y double, z double, u double, v double, w double"), "k").collect()
     assert [(r.k, r.scale) for r in got] == [("one", None)]
+
+
+def test_inverse_of_many_groups_in_batches(spark):
+    """No Python call a group; odd groups among others of several sizes."""
+    rng, rows, want = np.random.default_rng(8), [], {}
+    for k in range(300):
+        n = 1 + k % 4
+        a = rng.normal(size=(n, n)) + 3 * np.eye(n)
+        rows += [(k, 10 * i, 7 - j, float(a[i, j])) for i in range(n) for j in range(n)]
+        inv = np.linalg.inv(a)
+        want |= {(k, 7 - j, 10 * i): inv[j, i] for i in range(n) for j in range(n)}
+    rows += [(301, 0, 0, float("nan")), (302, 0, 0, None), (303, 0, 0, 0.0), (304, 0, 0, 1.0), (304, 0, 0, 3.0), (None, 1, 1, 2.0), (305, 0, 1, 1.0), (305, 1, 0, 1.0)]
+    want |= {(304, 0, 0): 0.25, (None, 1, 1): 0.5, (305, 0, 0): 0.0, (305, 0, 1): 1.0, (305, 1, 0): 1.0, (305, 1, 1): 0.0}
+    out = linalg.inverse(spark.createDataFrame(rows, "k long, i long, j long, v double"), "k")
+    got = {(r.k, r.i, r.j): r.v for r in out.collect()}
+    assert {k for k in got if k[1] is None} == {(k, None, None) for k in (301, 302, 303)} and len(got) == len(want) + 3
+    assert all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
+    assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
