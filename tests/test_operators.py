@@ -239,3 +239,22 @@ def test_sensor_shift(spark):
     assert tuple(df.select(line, samp).first()) == (5.0, 3.0)
     line, samp = sensor.project(sensor.shift(F.col("m"), F.lit(2.0), F.lit(1.0)), F.lit(3.0), F.lit(5.0), F.lit(1.0))
     assert tuple(df.select(line, samp).first()) == (3.0, 2.0)
+
+
+def test_product_in_squares(spark):
+    """Places of several squares, negative ones too; NULL values make no sum, NULL places meet nothing; no partial product is grouped."""
+    rng = np.random.default_rng(11)
+    cells = lambda: [(int(i), int(k), float(v)) for i, k, v in zip(rng.integers(-3000, 6000, 400), rng.integers(0, 30, 400), rng.integers(-3, 4, 400))]
+    a, b = cells(), [(k, j, v) for j, k, v in cells()]
+    a += [(1, 5, None), (9000, 50, None), (2, None, 4.0), (-2048, 51, 2.0), (None, 51, 5.0)]
+    b += [(50, 7, 3.0), (None, 3, 1.0), (51, -1, 3.0), (51, -1, 4.0)]
+    want = {}
+    for i, k, v in a:
+        for k2, j, w in b:
+            if k is not None and k == k2:
+                want.setdefault((i, j), []).append(None if v is None or w is None else v * w)
+    frame = lambda rows: spark.createDataFrame(rows, "i long, j long, v double")
+    out = linalg.multiply(frame(a), frame(b))
+    got = {(r.i, r.j): r.v for r in out.collect()}
+    assert got == {k: sum(x for x in v if x is not None) if any(x is not None for x in v) else None for k, v in want.items()}
+    assert "sum(" not in out._jdf.queryExecution().optimizedPlan().toString()
