@@ -413,19 +413,29 @@ def epipolar_candidates(left: DataFrame, right: DataFrame, left_model: Column, r
     """Pairs (id, candidate, distance) of features (id, line, samp) of two images: the right one lies within
     ``search`` pixels of the curve that the left one's ray makes between two heights, sampled each ``step``.
 
-    Samples and features meet in square cells of the side ``search``; a feature goes to the nine cells around its own.
+    Samples and features meet in square cells of the side ``search``; a feature goes to the nine cells around its own. Features of one
+    place (and model) have the same curve and distances: these are worked out once for places, and only the pairs that come out
+    are those of features, which no shuffle groups again, unless an id has several places.
     """
     heights = [low + k * step for k in range(int((high - low) / step) + 1)]
-    rays = left.select("id", "line", "samp", left_model.alias("m1"), right_model.alias("m2"), F.explode(F.array(*[F.lit(float(h)) for h in heights])).alias("h"))
+    place, other = ["line", "samp", "mk"], ["rl", "rs"]
+    own = left.dropna(subset=["line", "samp"]).select("id", "line", "samp", left_model.alias("m1"), right_model.alias("m2")).withColumn("mk", F.xxhash64("m1", "m2"))
+    theirs = right.dropna(subset=["line", "samp"]).select(F.col("id").alias("candidate"), F.col("line").alias("rl"), F.col("samp").alias("rs")).distinct()
+    rays = own.groupBy(*place).agg(F.first("m1").alias("m1"), F.first("m2").alias("m2")).select("*", F.explode(F.array(*[F.lit(float(h)) for h in heights])).alias("h"))
     rays = rays.withColumn("g", image_to_ground(F.col("m1"), F.col("line"), F.col("samp"), F.col("h")))
     line, samp = project(F.col("m2"), F.col("g.lat"), F.col("g.lon"), F.col("h"))
     cell = lambda c: F.floor(F.col(c) / float(search))
-    curve = save(rays.select("id", line.alias("y"), samp.alias("x")), "rays")  # stored, so that no filter traces a ray again
+    curve = save(rays.select(*place, line.alias("y"), samp.alias("x")), "rays")  # stored, so that no filter traces a ray again
     curve = curve.dropna().withColumn("cy", cell("y")).withColumn("cx", cell("x"))
     around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
-    near = right.dropna(subset=["line", "samp"]).select(F.col("id").alias("candidate"), "line", "samp").withColumn("cy", around("line")).withColumn("cx", around("samp"))
-    distance = F.hypot(F.col("y") - F.col("line"), F.col("x") - F.col("samp"))
-    return curve.join(near, ["cy", "cx"]).withColumn("distance", distance).filter(F.col("distance") <= search).groupBy("id", "candidate").agg(F.min("distance").alias("distance"))
+    near = theirs.select(*other).distinct().withColumn("cy", around("rl")).withColumn("cx", around("rs"))
+    distance = F.hypot(F.col("y") - F.col("rl"), F.col("x") - F.col("rs"))
+    met = curve.join(near, ["cy", "cx"]).withColumn("distance", distance).filter(F.col("distance") <= search).groupBy(*place, *other).agg(F.min("distance").alias("distance"))
+    own = own.select("id", *place).distinct()
+    pairs = save(met, "epipolar-places").join(own, place).join(theirs, other).select("id", "candidate", "distance")
+    if all(df.groupBy(key).count().filter("count > 1").isEmpty() for df, key in ((own, "id"), (theirs, "candidate"))):
+        return pairs
+    return pairs.groupBy("id", "candidate").agg(F.min("distance").alias("distance"))
 
 
 def near_samples(x: Column, y: Column, xs: Column, ys: Column, reach: Column) -> Column:

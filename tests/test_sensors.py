@@ -1,12 +1,14 @@
 """Sensor models, adjustment and image pairs on made-up cameras, against what they were made from."""
 
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import matching, sensor
+from gridloom.plans import photogrammetry
 from gridloom.plans import views as V
 
 
@@ -137,3 +139,19 @@ def test_places_are_traced_and_projected_by_compiled_code_or_batches(spark):
     traced = camera(spark, range(5)).withColumn("g", sensor.image_to_ground(m, F.lit(4000.0), F.lit(3000.0), F.lit(50.0)))
     line, samp = sensor.project(m, F.col("g.lat"), F.col("g.lon"), F.lit(50.0))
     assert "lambdafunction" not in traced.select("image", line.alias("line"), samp.alias("samp"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_candidates_of_features_in_one_place(spark):
+    """Every pair of features that share their places, from one distance; an id in two places has its least distance."""
+    at = spark.range(60).select("id", (F.col("id") % 3 * 20.0).alias("line"), F.lit(5.0).alias("samp"))
+    other = spark.range(40).select(F.col("id") + 100, (F.col("id") % 2 * 40.0 + 1).alias("line"), F.lit(5.0).alias("samp")).toDF("id", "line", "samp")
+    flat = photogrammetry._affine()
+    unit = lambda n, k: F.array(*[F.lit(1.0 if x == k else 0.0) for x in range(20)]).alias(n)
+    plan = flat.withField("line_num", unit("a", 2)).withField("samp_num", unit("b", 1))
+    find = lambda a, b: sensor.epipolar_candidates(a, b, plan, plan, 0.0, 2.0, 1.0, 2.5)
+    out = find(at, other)
+    got = {(r.id, r.candidate): round(r.distance, 9) for r in out.collect()}
+    assert got == {(i, 100 + j): 1.0 for i in range(60) for j in range(40) if i % 3 != 1 and (i % 3 == 0) == (j % 2 == 0)} and out.count() == len(got)
+    assert not re.search(r"Aggregate \[id#\d+L?, candidate", out._jdf.queryExecution().optimizedPlan().toString())
+    again = find(at.union(at).union(at.filter("id = 0").withColumn("line", F.lit(0.5))), other)
+    assert {(r.id, r.candidate): round(r.distance, 9) for r in again.collect()} == got | {(0, 100 + j): 0.5 for j in range(0, 40, 2)} and again.count() == len(got)
