@@ -1,9 +1,13 @@
 """Krylov solvers where their recurrences break down."""
 
+import time
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.operators import linalg
+from gridloom.sources import storage
 
 
 def frames(spark, a, b):
@@ -32,3 +36,22 @@ def test_singular_and_indefinite_systems_end(spark):
     assert np.allclose(x, [-1, 1]) and residual < 1e-8
     nothing = m.limit(0), b.limit(0)
     assert linalg.bicgstab(*nothing).count() == 0 == linalg.conjugate_gradient(*nothing).count()
+
+
+def test_saved_tables_leave_no_shuffle_files(spark):
+    """Those of earlier jobs may go meanwhile; those of the saved table must."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        at = manager.getAllFiles().iterator()
+        return {name for name in iter(lambda: at.next().getName() if at.hasNext() else None, None) if name.startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = files(), spark.conf.get(key, None)
+    out = storage.save(spark.range(1000, numPartitions=3).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")), "shuffled")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get(key, None) == was
+    assert {r.k: r.n for r in out.collect()} == {k: len(range(k, 1000, 7)) for k in range(7)}
